@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import eav, nested, skew
+from marlstone.operators import eav, nested, quality, skew
 from marlstone.sources.tables import table
 
 
@@ -41,7 +41,21 @@ def p5_steps(spark: SparkSession, d: str) -> DataFrame:
     return skew.chunk_runs(slim, ["key"], "review_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps}
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    return quality.profile(quality.catalogue_values(table(spark, d, "meta_items"), table(spark, d, "reviews")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.issues(p6_profile(spark, d))
+
+
+def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Expressions of prices and votes with the rows they cover."""
+    values = quality.catalogue_values(table(spark, d, "meta_items"), table(spark, d, "reviews")).where("state != 'missing'")
+    return quality.induce(values).groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_rows"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_expressions": p6_expressions}
 
 ORACLE = {
     "p5_found": r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_count
-from marlstone.llm import mixing, packing
+from marlstone.llm import mixing, packing, residue
 from marlstone.sources.tables import table
 
 
@@ -43,8 +43,17 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.flag_records(table(spark, d, "documents"), "doc_id", "text").where("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.flag_records(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix,
+    "p10_found": p10_found, "p10_scores": p10_scores,
 }
 
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

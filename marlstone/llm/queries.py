@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_count
-from marlstone.llm import mixing, packing, residue
+from marlstone.llm import mixing, neighbours, packing, residue
 from marlstone.sources.tables import table
 
 
@@ -51,7 +51,17 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue.flag_records(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", k=10, least=0.9)
+    return neighbours.mutual_pairs(found, "vec_id").select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", k=10)
+
+
 QUERIES = {
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix,
     "p10_found": p10_found, "p10_scores": p10_scores,
 }

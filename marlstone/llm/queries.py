@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_count
-from marlstone.llm import mixing, neighbours, packing, residue
+from marlstone.llm import clusters, mixing, neighbours, packing, residue
 from marlstone.sources.tables import table
 
 
@@ -60,7 +60,16 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", k=10)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(table(spark, d, "meta_items")).select(F.col("cluster").alias("cluster_key"), "parent_asin")
+
+
+def p7_typical(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.typical(clusters.clusters(table(spark, d, "meta_items")))
+
+
 QUERIES = {
+    "p7_found": p7_found, "p7_typical": p7_typical,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix,
     "p10_found": p10_found, "p10_scores": p10_scores,

@@ -1,9 +1,9 @@
 """The most similar vectors of every vector: a robust-pruned graph per shard, searched by beams.
 
 Vectors are normalised and exact copies reduced to one. Shards are the cells of a coarse clustering fitted on a bounded
-sample; every vector is indexed in its few nearest cells, and cells that grow too large are parted by hash. Each shard
-builds a directed graph: greedy searches propose neighbours, relaxed distance pruning keeps diverse edges. Every vector is
-then searched for in the shards of its cells, from its own node, and the best of all shards are its neighbours.
+sample; every vector is indexed in its nearest cell, and cells that grow too large are parted by hash. Each shard builds a
+directed graph: greedy searches propose neighbours, relaxed distance pruning keeps diverse edges. Every vector is then
+searched for, by beam search, in the shards of all cells near it, and the best of all shards are its neighbours.
 """
 
 from __future__ import annotations
@@ -21,14 +21,19 @@ from marlstone.sources.staging import stage
 
 #: Rows the coarse clustering is fitted on, wanted rows of a cell, most rows of a shard, most cells.
 SAMPLE_ROWS, CELL_ROWS, SHARD_ROWS, MOST_CELLS = 20_000, 6_000, 40_000, 4_096
+#: A cell is searched if its centroid is less similar than the nearest by at most this share of the distance of interest.
+MARGIN = 0.18
 
 
 @dataclass(frozen=True)
 class Graph:
-    """degree: edges of a node; beam: nodes held by a search; alpha: how much longer a way round may be before an edge stays."""
+    """degree: edges a node is pruned to; beam: nodes held by a search; alpha: how much longer a way round may be before an edge stays.
 
-    degree: int = 24
-    beam: int = 64
+    Links back may fill a node up to twice its degree before it is pruned again.
+    """
+
+    degree: int = 16
+    beam: int = 32
     alpha: float = 1.2
     expand: int = 4
 
@@ -54,7 +59,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np
         column = np.broadcast_to(np.arange(front.shape[1], dtype=np.int16), front.shape)
         seen[np.broadcast_to(rows, front.shape)[new], front[new]] = column[new]
         new &= seen[rows, known] == column  # of a node that came twice one stays
-        near = np.einsum("qed,qd->qe", x[known], queries[live], optimize=False)
+        near = np.matmul(x[known], queries[live][:, :, None])[:, :, 0]
         all_ids = np.concatenate([ids[live], np.where(new, front, -1)], axis=1)
         all_sims = np.concatenate([sims[live], np.where(new, near, -np.inf)], axis=1)
         all_fresh = np.concatenate([fresh[live], new], axis=1)
@@ -101,43 +106,46 @@ def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree:
 
 def build_graph(x: np.ndarray, g: Graph, batch: int = 512) -> tuple[np.ndarray, int]:
     """(edges, entry node). Nodes come in batches that at most double the graph; each batch is searched, pruned and linked back."""
-    n = len(x)
-    edges = np.full((n, g.degree), -1, dtype=np.int64)
+    n, width = len(x), 2 * g.degree
+    edges = np.full((n, width), -1, dtype=np.int64)
     start = int(np.argmax(x @ x.mean(axis=0)))
-    order = np.concatenate(([start], np.delete(np.random.default_rng(11).permutation(n), np.flatnonzero(np.random.default_rng(11).permutation(n) == start))))
-    done = min(n, 2 * g.degree)
+    order = np.random.default_rng(11).permutation(n)
+    order = np.concatenate(([start], order[order != start]))
+    done = min(n, width)
     first = order[:done]
-    edges[first] = robust_prune(x, first, np.broadcast_to(first, (done, done)), g.degree, g.alpha)
+    edges[first, : g.degree] = robust_prune(x, first, np.broadcast_to(first, (done, done)), g.degree, g.alpha)
     while done < n:
         own = order[done : done + min(batch, done)]
         found, _ = beam_search(x, edges, x[own], np.full((len(own), 1), start), g.beam, g.expand)
-        edges[own] = robust_prune(x, own, found, g.degree, g.alpha)
-        # links back, by target; a target whose edges overflow is pruned again
-        to, by = edges[own].ravel(), np.repeat(own, g.degree)
+        edges[own, : g.degree] = robust_prune(x, own, found, g.degree, g.alpha)
+        # links back, by target: they fill free places, and a target they would overflow is pruned from all it has
+        out = edges[own, : g.degree]
+        to, by = out.ravel(), np.repeat(own, g.degree)
         to, by = to[to >= 0], by[to >= 0]
         o = np.argsort(to, kind="stable")
         to, by = to[o], by[o]
         targets, at, counts = np.unique(to, return_index=True, return_counts=True)
-        place = np.arange(len(to)) - np.repeat(at, counts)
-        width = min(int(counts.max()), 2 * g.degree)
-        extra = np.full((len(targets), width), -1, dtype=np.int64)
-        row = np.repeat(np.arange(len(targets)), counts)
-        fits = place < width
-        extra[row[fits], place[fits]] = by[fits]
-        both = np.concatenate([edges[targets], extra], axis=1)
-        held = (both >= 0).sum(axis=1)
-        room = held <= g.degree
-        if room.any():
-            packed = np.take_along_axis(both[room], np.argsort(both[room] < 0, axis=1, kind="stable"), 1)
-            edges[targets[room]] = packed[:, : g.degree]
-        for i in range(0, int((~room).sum()), batch):
-            some = np.flatnonzero(~room)[i : i + batch]
-            edges[targets[some]] = robust_prune(x, targets[some], both[some], g.degree, g.alpha)
+        place, row = np.arange(len(to)) - np.repeat(at, counts), np.repeat(np.arange(len(targets)), counts)
+        held = (edges[targets] >= 0).sum(axis=1)
+        room = held + counts <= width
+        fits = room[row]
+        edges[to[fits], (held[row] + place)[fits]] = by[fits]
+        tight = np.flatnonzero(~room)
+        if len(tight):
+            where = np.full(len(targets), -1)
+            where[tight] = np.arange(len(tight))
+            extra = np.full((len(tight), int(counts[tight].max())), -1, dtype=np.int64)
+            extra[where[row[~fits]], place[~fits]] = by[~fits]
+            for i in range(0, len(tight), batch):
+                some = targets[tight[i : i + batch]]
+                pruned = robust_prune(x, some, np.concatenate([edges[some], extra[i : i + batch]], axis=1), g.degree, g.alpha)
+                edges[some] = -1
+                edges[some, : g.degree] = pruned
         done += len(own)
     return edges, start
 
 
-def search_shard(x: np.ndarray, nodes: np.ndarray, queries: np.ndarray, k: int, g: Graph, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def search_shard(x: np.ndarray, nodes: np.ndarray, queries: np.ndarray, k: int, g: Graph, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Node numbers and similarities (queries, k) of the k nearest nodes but the query's own; nodes has that number or -1."""
     width = min(k + 1, len(x))
     if len(x) <= 4 * g.degree:  # too few for a graph to leave anything out
@@ -175,12 +183,9 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 def usable(vector: Column, dim: int) -> Column:
     """Of the given length, all finite, not all zero."""
-    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 1), dtype=np.float32)
+    low, high = F.array_min(vector), F.array_max(vector)
+    finite = ~F.isnan(high) & (high < float("inf")) & (low > float("-inf")) & (F.size(F.array_compact(vector)) == F.size(vector))
+    return F.coalesce((F.size(vector) == dim) & finite & ((low != 0) | (high != 0)), F.lit(False))
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -189,12 +194,16 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, dim: int = 64, probes: int = 4, graph: Graph = Graph()) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, dim: int = 64, graph: Graph = Graph()) -> DataFrame:
     """``key, other, similarity``: up to k most similar other vectors of every usable vector, by cosine, at least ``least``.
 
     Unusable vectors (null, of another length than dim, all zero, or with a null, NaN or infinite number) are left out.
     Vectors are compared by direction. Ties go to the smaller key. Exact copies are searched for once: a copy's nearest
     are the copies of smallest keys first. Keys are distinct whole numbers. An empty table gives an empty one.
+
+    A vector is indexed in its nearest cell and searched for in every cell whose centroid is nearly as near: the
+    difference of the two similarities differs between vectors at distance r by about r / sqrt(dim) at most, so the
+    margin is MARGIN * r with r the distance that ``least`` stands for.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<float>").alias("v")).where(F.col("key").isNotNull() & usable(F.col("v"), dim))
@@ -202,24 +211,30 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float
     rows = classes.count()
     step = max(1, rows // SAMPLE_ROWS)
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
-    wanted = min(MOST_CELLS, -(-rows * probes // CELL_ROWS))
+    wanted = min(MOST_CELLS, -(-rows // CELL_ROWS))
     centres = spark.sparkContext.broadcast(fit_cells(_unit(sample).astype(np.float32), wanted) if len(sample) else np.zeros((1, dim), np.float32))
+    margin = MARGIN * float(np.sqrt(2 - 2 * max(least, -1.0)))
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"cell": (_unit(b["v"]).astype(np.float32) @ centres.value.T).argmax(axis=1)})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                unit = _unit(b["v"]).astype(np.float32)
-                few = min(probes, len(centres.value))
-                cells = np.argpartition(-(unit @ centres.value.T), few - 1, axis=1)[:, :few]
-                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), few), "v": np.repeat(b["v"].to_numpy(), few), "cell": cells.ravel()})
+                sims = _unit(b["v"]).astype(np.float32) @ centres.value.T
+                row, cell = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell, "own": sims.argmax(axis=1)[row] == cell})
 
-    placed = stage(classes.select("id", "v").mapInPandas(place, "id bigint, v array<float>, cell int"), "placed")
     # a cell above SHARD_ROWS becomes several shards; its vectors are indexed in one of them and searched for in all
-    large = {r[0]: -(-r[1] // SHARD_ROWS) for r in placed.groupBy("cell").count().where(F.col("count") > SHARD_ROWS).collect()}
+    sizes = classes.select("v").mapInPandas(homes, "cell int").groupBy("cell").count().where(F.col("count") > SHARD_ROWS)
+    large = {r[0]: -(-r[1] // SHARD_ROWS) for r in sizes.collect()} if rows > SHARD_ROWS else {}
     parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1)) if large else F.lit(1)
-    home = F.pmod(F.xxhash64("id"), parts).cast("int")
-    asked = placed.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    asked = asked.withColumn("indexed", F.col("part") == F.col("home")).drop("home")
+    asked = classes.select("id", "v").mapInPandas(place, "id bigint, v array<float>, cell int, own boolean")
+    asked = asked.withColumn("home", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))) if large else asked.withColumn("part", F.lit(0))
+    asked = asked.withColumn("indexed", F.col("own") & (F.col("part") == F.col("home"))).drop("home", "own")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         unit = _unit(group["v"])

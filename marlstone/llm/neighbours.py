@@ -210,7 +210,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float
     classes = stage(slim.groupBy("v").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     rows = classes.count()
     step = max(1, rows // SAMPLE_ROWS)
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
+    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(2 * SAMPLE_ROWS).toArrow().to_pandas()["v"]
     wanted = min(MOST_CELLS, -(-rows // CELL_ROWS))
     centres = spark.sparkContext.broadcast(fit_cells(_unit(sample).astype(np.float32), wanted) if len(sample) else np.zeros((1, dim), np.float32))
     margin = MARGIN * float(np.sqrt(2 - 2 * max(least, -1.0)))

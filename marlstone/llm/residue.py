@@ -140,13 +140,13 @@ def fit(counted: DataFrame, rounds: int = ROUNDS) -> Model:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"bucket": at, "w": total[at]})
 
-        rows = counted.mapInPandas(of, "bucket bigint, w double").groupBy("bucket").agg(F.sum("w").alias("w")).toPandas()
+        rows = counted.mapInPandas(of, "bucket bigint, w double").groupBy("bucket").agg(F.sum("w").alias("w")).toArrow().to_pandas()
         out = np.zeros(BUCKETS + 1)
         out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["w"]
         held.unpersist()
         return out[:BUCKETS], float(out[BUCKETS])
 
-    every = counted.select(F.explode("features").alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    every = counted.select(F.explode("features").alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n_all = np.zeros(BUCKETS)
     n_all[every["bucket"].to_numpy(dtype=np.int64)] = every["n"]
     size = float(counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()[0])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_count
-from marlstone.llm import clusters, mixing, neighbours, packing, residue
+from marlstone.llm import clusters, linkage, mixing, neighbours, packing, residue
 from marlstone.sources.tables import table
 
 
@@ -68,8 +68,17 @@ def p7_typical(spark: SparkSession, d: str) -> DataFrame:
     return clusters.typical(clusters.clusters(table(spark, d, "meta_items")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.product_pairs(linkage.products(table(spark, d, "meta_items")))
+    return pairs.select(F.col("a").alias("asin_a"), F.col("b").alias("asin_b"))
+
+
+def p3_products(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.products(table(spark, d, "meta_items"))
+
+
 QUERIES = {
-    "p7_found": p7_found, "p7_typical": p7_typical,
+    "p3_found": p3_found, "p3_products": p3_products, "p7_found": p7_found, "p7_typical": p7_typical,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix,
     "p10_found": p10_found, "p10_scores": p10_scores,

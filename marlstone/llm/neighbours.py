@@ -35,7 +35,7 @@ class Graph:
     degree: int = 16
     beam: int = 32
     alpha: float = 1.2
-    expand: int = 4
+    expand: int = 3
 
 
 # -- the graph of a shard -----------------------------------------------------------------------------------------------
@@ -48,7 +48,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np
     """
     n, q = len(x), len(queries)
     seen = np.full((q, n), -1, dtype=np.int16)
-    ids = np.full((q, beam), -1, dtype=np.int64)
+    ids = np.full((q, beam), -1, dtype=np.int32)
     sims = np.full((q, beam), -np.inf, dtype=np.float32)
     fresh = np.zeros((q, beam), dtype=bool)
     live, front = np.arange(q), entry
@@ -59,7 +59,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np
         column = np.broadcast_to(np.arange(front.shape[1], dtype=np.int16), front.shape)
         seen[np.broadcast_to(rows, front.shape)[new], front[new]] = column[new]
         new &= seen[rows, known] == column  # of a node that came twice one stays
-        near = np.matmul(x[known], queries[live][:, :, None])[:, :, 0]
+        near = np.matmul(np.take(x, known, axis=0, mode="clip"), queries[live][:, :, None])[:, :, 0]
         all_ids = np.concatenate([ids[live], np.where(new, front, -1)], axis=1)
         all_sims = np.concatenate([sims[live], np.where(new, near, -np.inf)], axis=1)
         all_fresh = np.concatenate([fresh[live], new], axis=1)
@@ -107,7 +107,7 @@ def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree:
 def build_graph(x: np.ndarray, g: Graph, batch: int = 512) -> tuple[np.ndarray, int]:
     """(edges, entry node). Nodes come in batches that at most double the graph; each batch is searched, pruned and linked back."""
     n, width = len(x), 2 * g.degree
-    edges = np.full((n, width), -1, dtype=np.int64)
+    edges = np.full((n, width), -1, dtype=np.int32)
     start = int(np.argmax(x @ x.mean(axis=0)))
     order = np.random.default_rng(11).permutation(n)
     order = np.concatenate(([start], order[order != start]))

@@ -185,9 +185,9 @@ def category_levels(df: DataFrame, key: str = "row_id", field: str = "categories
     # entities are decoded after the split: a decoded '>' is part of a name
     names = F.flatten(F.transform(F.filter(F.col(field), lambda e: e.isNotNull()), one))
     clean = F.transform(names, lambda x: F.regexp_replace(unescape_entities(x), edge, ""))
-    levels = F.filter(clean, lambda x: x != "")
-    linked = F.transform(levels, lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("label"), F.when(i == 0, F.lit("")).otherwise(F.get(levels, i - 1)).alias("parent")))
-    return df.select(F.col(key).alias("row_id"), F.explode(linked).alias("l")).select("row_id", "l.*")
+    named = df.select(F.col(key).alias("row_id"), F.filter(clean, lambda x: x != "").alias("names"))
+    linked = F.transform("names", lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("label"), F.when(i == 0, F.lit("")).otherwise(F.get("names", i - 1)).alias("parent")))
+    return named.select("row_id", F.explode(linked).alias("l")).select("row_id", "l.*")
 
 
 def nested_tables(df: DataFrame) -> DataFrame:

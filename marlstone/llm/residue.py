@@ -27,10 +27,11 @@ MOST_WEIGHT = 6.0
 
 # fixed values: ways to write a slot, each with a name inside
 _NAME = r"[\p{L}_][\p{L}\p{Nd}_. \-]{0,40}"
+_TIGHT = r"[\p{L}_](?:[\p{L}\p{Nd}_. \-]{0,39}[\p{L}\p{Nd}_])?"
 SLOTS = (
     rf"\{{\{{\{{?\s*{_NAME}\s*\}}\}}\}}?", rf"<%=?\s*{_NAME}\s*%>", rf"\{{%\s*{_NAME}\s*%\}}", rf"\$\{{\s*{_NAME}\s*\}}", rf"\*\|\s*{_NAME}\s*\|\*", rf"%\({_NAME}\)s",
     rf"\[\[\s*{_NAME}\s*\]\]", rf"@@{_NAME}@@", r"__[\p{L}][\p{L}\p{Nd}. \-]*(?:_[\p{L}\p{Nd}. \-]+)*__", r"(?i)\[(?:insert|your)\s[^\]]{1,40}\]", r"(?i)<(?:insert|your)\s[^>]{1,40}>",
-    rf"\{{\s*{_NAME}\s*\}}", rf"\[\s*{_NAME}\s*\]", r"%[\p{L}_][\p{L}\p{Nd}_]{0,40}%", r"#[\p{L}_][\p{L}\p{Nd}_]{0,40}#", r"\$[\p{L}_][\p{L}\p{Nd}_]{0,40}\$", rf"<\s*{_NAME}\s*>",
+    rf"\{{\s*{_NAME}\s*\}}", rf"\[\s*{_NAME}\s*\]", rf"%{_TIGHT}%", rf"#{_TIGHT}#", rf"\${_TIGHT}\$", rf"<\s*{_NAME}\s*>",
 )
 #: Tags of markup that are dropped; anything else between angle brackets may be a slot.
 TAGS = r"(?i)</?(?:p|br|b|i|u|em|strong|div|span|li|ul|ol|h[1-6]|a|img|table|tr|td|th|tbody|thead|hr|font|small|sup|sub)(?:\s[^>]*)?/?>"

@@ -153,8 +153,8 @@ def largest_shift(valid: DataFrame, totals: DataFrame, keys: Sequence[str]) -> D
     A running sum over distinct x, made in two steps so that no task holds a column: x is parted into buckets of about
     equally many distinct values, bucket sums are summed up, and each bucket is summed up within itself.
     """
-    later = totals.where((F.col("load_no") != 0) & (F.col("valid") > 0)).select(*keys, "load_no", F.col("valid").alias("of"))
     base = totals.where((F.col("load_no") == 0) & (F.col("valid") > 0)).select(*keys, F.col("valid").alias("of_0"))
+    later = totals.where((F.col("load_no") != 0) & (F.col("valid") > 0)).join(base, list(keys), "left_semi").select(*keys, "load_no", F.col("valid").alias("of"))
     own = valid.where("load_no != 0").join(later, [*keys, "load_no"]).select(*keys, "load_no", "x", (F.col("n") / F.col("of")).alias("w"))
     first = valid.where("load_no = 0").drop("load_no").join(base, list(keys)).join(later.drop("of"), list(keys)).select(*keys, "load_no", "x", (-F.col("n") / F.col("of_0")).alias("w"))
     steps = own.unionByName(first).groupBy(*keys, "load_no", "x").agg(F.sum("w").alias("w"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,21 +65,23 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
     """
     slim = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("tokens"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 33
         for batch in batches:
-            tokens = batch["tokens"].to_numpy()
+            tokens = batch.column("tokens").to_numpy()
             full = np.where(tokens > capacity, tokens // capacity, 0)
             rest = tokens - full * capacity
             pieces = full + ((rest > 0) | (full == 0))
             row = np.repeat(np.arange(len(tokens)), pieces)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            part = np.where(piece < full[row], capacity, rest[row])
-            number = np.fromiter((bins.fresh() if whole else bins.put(int(p)) for p, whole in zip(part, piece < full[row], strict=True)), dtype=np.int64, count=len(row))
-            yield pd.DataFrame({"key": batch["key"].to_numpy()[row], "piece": piece, "n_pieces": pieces[row], "tokens": part, "container": number + base})
+            whole = piece < full[row]
+            part = np.where(whole, capacity, rest[row])
+            number = np.fromiter((bins.fresh() if w else bins.put(p) for p, w in zip(part.tolist(), whole.tolist(), strict=True)), dtype=np.int64, count=len(row))
+            columns = [batch.column("key").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (piece, pieces[row], part, number + base))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "n_pieces", "tokens", "container"])
 
     kind = dict(slim.dtypes)["key"]
-    out = slim.mapInPandas(place, f"key {kind}, piece bigint, n_pieces bigint, tokens bigint, container bigint")
+    out = slim.mapInArrow(place, f"key {kind}, piece bigint, n_pieces bigint, tokens bigint, container bigint")
     return out.withColumnRenamed("key", key)
 
 

@@ -162,16 +162,18 @@ def wide_rows(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
 def dense_tables(wide: DataFrame, columns: Sequence[WideColumn], most: int = DENSE_TABLES) -> dict[int | None, DataFrame]:
     """A table per signature, with the signature's columns only, for the commonest ``most``; key None has all other entities.
 
-    The rows are staged once, parted by signature; each table then reads its own folder. At most 62 columns.
+    The rows are staged, counted by signature and parted by table; each table then reads its own folder. At most 62 columns.
     """
     if len(columns) > 62:
         raise ValueError("signatures hold at most 62 columns")
-    stored = stage(wide.hint("rebalance", "signature"), "signatures", partition_by=("signature",))
-    top = [r[0] for r in stored.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(most).collect()]
+    rows = stage(wide, "wide")
+    top = [r[0] for r in rows.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(most).collect()]
+    place = F.when(F.col("signature").isin(*top), F.col("signature")).otherwise(F.lit(-1)) if top else F.lit(-1)
+    stored = stage(rows.withColumn("_table", place.cast("bigint")).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
     out: dict[int | None, DataFrame] = {
-        s: stored.where(F.col("signature") == s).select("entity", *[c.name for i, c in enumerate(columns) if s >> i & 1]) for s in top
+        s: stored.where(F.col("_table") == s).select("entity", *[c.name for i, c in enumerate(columns) if s >> i & 1]) for s in top
     }
-    out[None] = stored.where(~F.col("signature").isin(*top) if top else F.lit(True)).select("entity", *[c.name for c in columns])
+    out[None] = stored.where("_table = -1").select("entity", *[c.name for c in columns])
     return out
 
 

@@ -73,8 +73,8 @@ def keywords(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     """
     terms = phrases(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    scored = terms.join(weight, "term").join(F.broadcast(total)).withColumn("score", F.round(F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1), 9))
+    total = df.count()
+    scored = terms.join(weight, "term").withColumn("score", F.round(F.col("tf") * (F.log(F.lit(total + 1.0) / (F.col("df") + 1)) + 1), 9))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
     best = scored.withColumn("r", rank).where(F.col("r") <= top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("k"))
     named = best.select(key, F.transform("k", lambda s: s["term"]).alias("keywords"))

@@ -48,16 +48,16 @@ def histogram(df: DataFrame, column: str, bins: int, last_closed: bool = False)
     """``bin, bin_center, n``: equal-width bins from the least to the largest value.
 
     The largest value has bin ``bins``, a bin of its own, unless last_closed puts it into the last. Bins without rows are
-    absent. A column with one value only has one row with null bin. Null values are left out; without any value nothing
+    absent. A column with one value only has one row with null bin. Null and NaN are left out; without any value nothing
     comes out.
     """
-    some = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    span = some.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row, joined without leaving the cluster
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    place = F.try_divide(F.col("x") - F.col("lo"), width).cast("int")
+    some = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    span = some.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()  # two numbers
+    low, width = F.lit(span["lo"]).cast("double"), F.lit(None if span["lo"] is None else (span["hi"] - span["lo"]) / bins).cast("double")
+    place = F.try_divide(F.col("x") - low, width).try_cast("int")
     if last_closed:
         place = F.least(place, F.when(place.isNotNull(), F.lit(bins - 1)))
-    placed = some.join(F.broadcast(span)).select(place.alias("bin"), (F.col("lo") + (place + 0.5) * width).alias("bin_center"))
+    placed = some.select(place.alias("bin"), (low + (place + 0.5) * width).alias("bin_center"))
     return placed.groupBy("bin").agg(F.max("bin_center").alias("bin_center"), F.count(F.lit(1)).alias("n"))
 
 
@@ -67,7 +67,9 @@ def top_values(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 
 def percent_of_whole(counts: DataFrame, n: str = "n") -> DataFrame:
-    return counts.withColumn("pct", F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(F.lit(0))))
+    """Counts with their percent of the sum of all counts; a sum of 0 or null gives null."""
+    total = counts.agg(F.sum(n)).first()[0]  # one number
+    return counts.withColumn("pct", F.try_divide(F.col(n) * 100.0, F.lit(None if total is None else float(total)).cast("double")))
 
 
 def percent_of_top(counts: DataFrame, label: str, n: str, k: int = 10) -> DataFrame:

@@ -25,18 +25,19 @@ class State:
     merge: Callable[[Column], Column]
 
 
-def number_in_key(df: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def number_in_key(df: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS, part: Column | None = None, order: Column | None = None) -> DataFrame:
     """Add ``place`` (from 0, exact, without gaps within a key) and ``chunk`` = place div chunk_rows.
 
     The rows travel once, hashed by key and input partition, so a hot key is spread over as many tasks as it has input
     partitions. Offsets are one row per key and input partition. ``df`` must give the same partitions each time it is
-    read, as a file scan or a staged table does.
+    read, as a file scan or a staged table does. Where places are to follow an order, ``part`` is a column that numbers
+    ranges of it and ``order`` the order within a range; else they follow the input.
 
     Null keys are a key of their own. An empty table gives an empty one. Columns named ``place``, ``chunk`` or ``_oc_*``
     are not allowed beside the keys; callers project first.
     """
     key = F.struct(*[F.col(k) for k in keys])
-    rows = df.withColumns({"_oc_key": key, "_oc_part": F.spark_partition_id(), "_oc_row": F.monotonically_increasing_id()})
+    rows = df.withColumns({"_oc_key": key, "_oc_part": F.spark_partition_id() if part is None else part, "_oc_row": F.monotonically_increasing_id() if order is None else order})
     counts = rows.groupBy("_oc_key", "_oc_part").agg(F.count(F.lit(1)).alias("_oc_n"))
     before = Window.partitionBy("_oc_key").orderBy("_oc_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_oc_key", "_oc_part", F.coalesce(F.sum("_oc_n").over(before), F.lit(0)).alias("_oc_offset"))
@@ -58,18 +59,22 @@ def chunked_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State
     )
 
 
+def ordered_ranges(df: DataFrame, *columns: str) -> DataFrame:
+    """df staged in ranges of the columns, ``_range`` numbering them in order. Files may be read in any order afterwards."""
+    from marlstone.sources.staging import stage
+
+    return stage(df.repartitionByRange(*columns).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def chunk_runs(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per key the largest step between neighbours in ``order``: ``keys``, ``n_rows``, ``first``, ``last``, ``largest_step``.
 
-    An ordered fold: rows are range-partitioned by key and order, so that input partitions follow the order, numbered and
-    cut into chunks. Each chunk keeps its first and last value and its largest inner step; neighbouring chunks of a key are
-    then joined at their boundary. Rows whose order is null are left out of the steps but counted.
+    An ordered fold: rows are parted into ranges of key and order, numbered along them and cut into chunks. Each chunk
+    keeps its first and last value and its largest inner step; neighbouring chunks of a key are then joined at their
+    boundary. Rows whose order is null are left out of the steps but counted.
     """
-    from marlstone.sources.staging import stage
-
-    slim = df.select(*keys, F.col(order).alias("_at"))
-    ranged = stage(slim.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at"), "ranged")
-    numbered = number_in_key(ranged, keys, chunk_rows)
+    ranged = ordered_ranges(df.select(*keys, F.col(order).alias("_at")), *keys, "_at")
+    numbered = number_in_key(ranged, keys, chunk_rows, F.col("_range"), F.col("_at"))
     inner = Window.partitionBy(*keys, "chunk").orderBy("place")
     stepped = numbered.withColumn("_step", F.col("_at") - F.lag("_at").over(inner))
     chunks = stepped.groupBy(*keys, "chunk").agg(

@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import number_in_key, ordered_ranges
+
 #: Rows of a block when all pairs are wanted; a task compares two blocks.
 BLOCK_ROWS = 4_000
 
@@ -98,5 +100,7 @@ def k_distance(df: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
 
 
 def k_distance_curve(distances: DataFrame) -> DataFrame:
-    """Distances in rising order with their place from 1, for the elbow of a density clustering."""
-    return distances.withColumn("place", F.row_number().over(Window.orderBy("distance")).cast("bigint"))
+    """Distances in rising order with their place from 1, for the elbow of a density clustering; numbered without one task holding all."""
+    ranged = ordered_ranges(distances, "distance").withColumn("_one", F.lit(0))
+    numbered = number_in_key(ranged, ["_one"], part=F.col("_range"), order=F.col("distance"))
+    return numbered.withColumn("place", (F.col("place") + 1).cast("bigint")).drop("_one", "_range", "chunk")

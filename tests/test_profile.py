@@ -32,6 +32,8 @@ def test_histogram(spark):
     same = spark.createDataFrame([(3.0,), (3.0,), (None,)], "x double")
     assert rows(profile.histogram(same, "x", 5)) == [(None, None, 2)]
     assert rows(profile.histogram(same.where("x is null"), "x", 5)) == []
+    odd = spark.createDataFrame([(0.0,), (float("nan"),), (4.0,), (4.0,)], "x double")
+    assert rows(profile.histogram(odd, "x", 2, last_closed=True)) == [(0, 1.0, 1), (1, 3.0, 2)]
 
 
 def test_tops_and_percents(items):

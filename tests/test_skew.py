@@ -56,3 +56,14 @@ def test_runs_across_chunks(spark):
     df = spark.createDataFrame(data, "k string, t bigint")
     for size in (1, 2, 100):
         assert rows(skew.chunk_runs(df, ["k"], "t", size)) == [("a", 6, 1, 401, 349), ("b", 1, 5, 5, None), ("c", 3, 1, 4, 3)]
+
+
+def test_runs_over_many_ranges(spark):
+    rng = random.Random(3)
+    data = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 5)}", rng.randint(0, 10**6)) for _ in range(5_000)]
+    df = spark.createDataFrame(data, "k string, t bigint").repartition(9)
+    want = {}
+    for k in {k for k, _ in data}:
+        t = sorted(x for key, x in data if key == k)
+        want[k] = (k, len(t), t[0], t[-1], max(b - a for a, b in zip(t, t[1:], strict=False)))
+    assert {r[0]: tuple(r) for r in skew.chunk_runs(df, ["k"], "t", 100).collect()} == want

@@ -101,7 +101,7 @@ def as_regex(held: Column, counted: Column) -> Column:
 
 
 def hashed_chain(values: DataFrame) -> DataFrame:
-    """``values`` with ``h1 .. h6`` (expressions as hashes) and, as structs for the bits, ``c1 .. c6`` (text bits) and ``b1 .. b6``."""
+    """``values`` with its chain, ``h1 .. h6`` (the expressions as hashes) and ``c1 .. c6`` (the bits of their texts)."""
     chain = expression_chain(F.col("value"))
     held = values.withColumns(chain)
     more = {f"h{i}": F.xxhash64(f"e{i}") for i in range(1, LEVELS + 1)} | {f"c{i}": F.length(f"e{i}") * EXPRESSION_BITS for i in range(1, LEVELS + 1)}

@@ -21,21 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders written by this process, for clear_staged().
+_written: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df once and return a scan of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path  # for unstage()
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/{name}")
+    _written[folder] = spark
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._staged_in = folder  # for unstage()
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _written.pop(folder, None)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for t in tables:
-        if path := getattr(t, "_staged_at", None):
-            jvm = t.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration() if hasattr(t.sparkSession, "_jsc") else t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if folder := getattr(t, "_staged_in", None):
+            _delete(t.sparkSession, folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this process has staged in the session; to be called when no result is read any more."""
+    for folder in [f for f, s in _written.items() if s is spark]:
+        _delete(spark, folder)

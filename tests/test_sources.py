@@ -3,7 +3,7 @@ import json
 from conftest import rows
 
 from marlstone.session import Config, Workspace
-from marlstone.sources import images, jsonl, storage
+from marlstone.sources import images, jsonl, staging, storage
 from marlstone.streaming.ingest import clean_new_files
 
 
@@ -65,3 +65,16 @@ def test_stream(spark, tmp_path):
     (folder / "2.jsonl").write_text(json.dumps({"text": None}))
     run()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "text") == [(None,), ("a & b",)]
+
+
+def test_staging(spark):
+    import os
+
+    a, b = staging.stage(spark.range(5).select("id"), "a"), staging.stage(spark.range(0).select("id"), "b")
+    assert a.count() == 5 and b.count() == 0
+    folder = a._staged_in.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    staging.unstage(a)
+    assert not os.path.isdir(folder)
+    staging.clear_staged(spark)
+    assert not os.path.isdir(b._staged_in.removeprefix("file://").removeprefix("file:"))

@@ -8,6 +8,7 @@ expression covers in each load are then compared with the baseline load, beside
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -73,22 +74,37 @@ def expression_chain(value: Column) -> dict[str, Column]:
     counted; 3 letters in one class; 4 letters and spaces in one class; 5 words of letters, digits and spaces, and runs
     of anything else; 6 anything. Expressions are held with one character per class; see as_regex.
     """
-    marked = F.regexp_replace(value, f"[{CAPITAL}-{ANY}]", "?")
-    for pattern, mark in ((r"[A-Z]", CAPITAL), (r"[a-z]", SMALL), (r"\p{Nd}", DIGIT), (r"\p{L}", LETTER), (r"\s", SPACE)):
-        marked = F.regexp_replace(marked, pattern, mark)
+    marked = mark_classes(value)
+    steps = widen(marked)
+    count = lambda e, marks: (F.length(e) - F.length(F.translate(e, marks, ""))).cast("double")
+    long, small, digits = F.length(value).cast("double"), count(marked, CAPITAL + SMALL), count(marked, DIGIT)
+    other, blank = count(marked, LETTER), count(marked, SPACE)
+    fixed = small * 4.7 + digits * 3.3 + other * 7.0
+    runs, letters, phrases, wide = (steps[f"e{i}"] for i in (2, 3, 4, 5))
+    return steps | {
+        "b1": fixed, "b2": fixed + REPEAT_BITS * count(runs, CAPITAL + SMALL + DIGIT + LETTER + SPACE), "b3": fixed + small + REPEAT_BITS * count(letters, LETTERS + DIGIT + SPACE),
+        "b4": fixed + small + 5.0 * blank + REPEAT_BITS * count(phrases, PHRASE + DIGIT), "b5": long * 6.2 + REPEAT_BITS * F.length(wide), "b6": long * 8.0 + REPEAT_BITS,
+    }
+
+
+def mark_classes(value: Column) -> Column:
+    """The text with a class's mark for every letter, digit and space; texts of plain characters need a single pass."""
+    plain = {string.ascii_uppercase: CAPITAL, string.ascii_lowercase: SMALL, string.digits: DIGIT, " \t\n\r\f\v": SPACE}
+    own = "".join(CLASSES)
+    quick = F.translate(value, own + "".join(plain), "?" * len(own) + "".join(mark * len(chars) for chars, mark in plain.items()))
+    full = quick
+    for pattern, mark in ((r"\p{Nd}", DIGIT), (r"\p{L}", LETTER)):
+        full = F.regexp_replace(full, pattern, mark)
+    return F.when(value.rlike(r"[^\x00-\x7f]"), full).otherwise(quick)
+
+
+def widen(marked: Column) -> dict[str, Column]:
+    """``e1 .. e6`` from marked text, each from the one before."""
     runs = F.regexp_replace(marked, f"([{CAPITAL}-{SPACE}])\\1+", "$1")
     letters = F.regexp_replace(runs, f"[{CAPITAL}{SMALL}{LETTER}]+", LETTERS)
     phrases = F.regexp_replace(letters, f"[{LETTERS}{SPACE}]+", PHRASE)
     wide = F.regexp_replace(F.regexp_replace(phrases, f"[{DIGIT}{PHRASE}]+", WORDS), f"[^{WORDS}]+", OTHERS)
-    count = lambda e, marks: F.length(F.regexp_replace(e, f"[^{marks}]", "")).cast("double")
-    long, small, digits = F.length(value).cast("double"), count(marked, f"{CAPITAL}{SMALL}"), count(marked, DIGIT)
-    other, blank = count(marked, LETTER), count(marked, SPACE)
-    fixed = small * 4.7 + digits * 3.3 + other * 7.0
-    return {
-        "e1": marked, "e2": runs, "e3": letters, "e4": phrases, "e5": wide, "e6": F.lit(ANY),
-        "b1": fixed, "b2": fixed + REPEAT_BITS * count(runs, f"{CAPITAL}-{SPACE}"), "b3": fixed + small + REPEAT_BITS * count(letters, f"{LETTERS}{DIGIT}{SPACE}"),
-        "b4": fixed + small + 5.0 * blank + REPEAT_BITS * count(phrases, f"{PHRASE}{DIGIT}"), "b5": long * 6.2 + REPEAT_BITS * F.length(wide), "b6": long * 8.0 + REPEAT_BITS,
-    }
+    return {"e1": marked, "e2": runs, "e3": letters, "e4": phrases, "e5": wide, "e6": F.lit(ANY)}
 
 
 def as_regex(held: Column, counted: Column) -> Column:
@@ -139,8 +155,9 @@ def induce(values: DataFrame) -> DataFrame:
     """
     known = values.where(F.col("value").isNotNull() & F.col("column_name").isNotNull())
     cuts = cut_tree(known.select("column_name", "value").distinct())
-    chained = known.withColumns({k: e for k, e in expression_chain(F.col("value")).items() if k[0] == "e"}).withColumn("h1", F.xxhash64("e1"))
-    picked = chained.join(cuts, ["column_name", "h1"]).withColumn("held", F.coalesce(*[F.when(F.col("level") == i, F.col(f"e{i}")) for i in range(1, LEVELS + 1)]))
+    marked = known.withColumn("e1", mark_classes(F.col("value"))).withColumn("h1", F.xxhash64("e1"))
+    steps = widen(F.col("e1"))  # only the one of the value's level is worked out
+    picked = marked.join(cuts, ["column_name", "h1"]).withColumn("held", F.coalesce(*[F.when(F.col("level") == i, steps[f"e{i}"]) for i in range(1, LEVELS + 1)]))
     return picked.select(*values.columns, "level", as_regex(F.col("held"), F.col("level") == 1).alias("expression"))
 
 

@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 
 from marlstone.sources.staging import stage
 
-#: Rows the coarse clustering is fitted on, wanted rows of a cell, most rows of a shard, most cells.
-SAMPLE_ROWS, CELL_ROWS, SHARD_ROWS, MOST_CELLS = 20_000, 6_000, 40_000, 4_096
+#: Rows the coarse clustering is fitted on (twice as many at most), wanted rows of a cell, most rows of a shard, most cells,
+#: and shards' worth of searches that one task makes.
+SAMPLE_ROWS, CELL_ROWS, SHARD_ROWS, MOST_CELLS, BLOCK_SHARDS = 20_000, 6_000, 40_000, 4_096, 10
 #: A cell is searched if its centroid is less similar than the nearest by at most this share of the distance of interest.
 MARGIN = 0.18
 
@@ -227,29 +228,34 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float
                 row, cell = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
                 yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell, "own": sims.argmax(axis=1)[row] == cell})
 
-    # a cell above SHARD_ROWS becomes several shards; its vectors are indexed in one of them and searched for in all
+    # a cell above SHARD_ROWS becomes several shards; its vectors are indexed in one of them and searched for in all,
+    # dealt to blocks of searches that each build the shard's graph again
     sizes = classes.select("v").mapInPandas(homes, "cell int").groupBy("cell").count().where(F.col("count") > SHARD_ROWS)
-    large = {r[0]: -(-r[1] // SHARD_ROWS) for r in sizes.collect()} if rows > SHARD_ROWS else {}
-    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1)) if large else F.lit(1)
+    large = {r[0]: r[1] for r in sizes.collect()} if rows > SHARD_ROWS else {}
+    per_cell = lambda most: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, n in large.items() for x in (c, -(-n // most))]), F.col("cell")), F.lit(1)) if large else F.lit(1)
+    parts, blocks = per_cell(SHARD_ROWS), per_cell(SHARD_ROWS * BLOCK_SHARDS)
     asked = classes.select("id", "v").mapInPandas(place, "id bigint, v array<float>, cell int, own boolean")
-    asked = asked.withColumn("home", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))) if large else asked.withColumn("part", F.lit(0))
-    asked = asked.withColumn("indexed", F.col("own") & (F.col("part") == F.col("home"))).drop("home", "own")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)) if large else F.lit(0))
+    asked = asked.withColumn("indexed", F.col("own") & (F.col("part") == F.pmod(F.xxhash64("id"), parts).cast("int")))
+    asked = asked.withColumn("of", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
+    block = F.explode(F.when(F.col("indexed"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("of"))) if large else F.lit(0)
+    asked = asked.withColumn("block", block).withColumn("asks", F.col("block") == F.col("of")).drop("own", "of")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         unit = _unit(group["v"])
         x32, held, ids = unit.astype(np.float32), group["indexed"].to_numpy(), group["id"].to_numpy()
-        nodes = np.where(held, np.cumsum(held) - 1, -1)
-        if not held.any():
+        ask = np.flatnonzero(group["asks"].to_numpy())
+        nodes = np.where(held, np.cumsum(held) - 1, -1)[ask]
+        if not held.any() or not len(ask):
             return pd.DataFrame({"id": ids[:0], "other": ids[:0], "similarity": np.zeros(0)})
-        found, sims = search_shard(x32[held], nodes, x32, k, graph)
+        found, sims = search_shard(x32[held], nodes, x32[ask], k, graph)
         q, slot = np.nonzero(sims >= least - 1e-4)
-        at = np.flatnonzero(held)[found[q, slot]]
+        at, q = np.flatnonzero(held)[found[q, slot]], ask[q]
         exact = np.einsum("ij,ij->i", unit[q], unit[at])
         keep = exact >= least
         return pd.DataFrame({"id": ids[q][keep], "other": ids[at][keep], "similarity": exact[keep]})
 
-    found = asked.groupBy("cell", "part").applyInPandas(search, "id bigint, other bigint, similarity double")
+    found = asked.groupBy("cell", "part", "block").applyInPandas(search, "id bigint, other bigint, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     best = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
     return _with_copies(slim, classes, best, k).select(F.col("key").alias(key), "other", "similarity")

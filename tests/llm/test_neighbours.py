@@ -25,6 +25,7 @@ def brute(x, k, least):
 def test_recall_over_cells_and_shards(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 500)
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 300)
+    monkeypatch.setattr(neighbours, "BLOCK_SHARDS", 1)
     x = pairs_of(np.random.default_rng(1), 1_500)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA).withColumn("cell", F.lit("clash"))
     close = {(r[0], r[1]) for r in neighbours.nearest(df, "vec_id", "embeddings", 10, 0.9).collect()}

@@ -68,4 +68,39 @@ ORACLE = {
         with r as (select upper(regexp_replace(parent_asin, '[^\p{L}\p{Nd}]', '', 'g')) as key, review_id from reviews where parent_asin is not null),
         s as (select *, review_id - lag(review_id) over (partition by key order by review_id) as step from r)
         select key, count(*) as n_rows, min(review_id) as first, max(review_id) as last, max(step) as largest_step from s group by key""",
+    "p4_found": r"""
+        with e as (select row_id, unnest(images) as e, unnest(range(len(images))) as pos from meta_items),
+        f as (select row_id, pos, case when json_valid(e) then case json_type(e) when 'VARCHAR' then e::json ->> '$' when 'OBJECT' then e end end as t from e),
+        j as (select row_id, pos, t::json as j from f where json_valid(t) and json_type(t) = 'OBJECT'),
+        l as (select unnest(['thumb', 'large', 'hi_res']) as label),
+        a as (select row_id, pos, j, label, j ->> ('$.' || label) as url from j, l
+              union all select row_id, pos, j, label, j ->> ('$.media.sizes.' || label || '.url') from j, l
+              union all select row_id, pos, j, label, unnest(case label when 'thumb' then json_extract_string(j, '$.sets[*].files[*].thumb')
+                when 'large' then json_extract_string(j, '$.sets[*].files[*].large') else json_extract_string(j, '$.sets[*].files[*].hi_res') end) from j, l
+              union all select row_id, pos, j, r ->> '$.type', r ->> '$.url' from (select row_id, pos, j, unnest(json_extract(j, '$.renditions[*]')) as r from j)),
+        i as (select distinct row_id, pos, label, coalesce(j ->> '$.variant', j ->> '$.meta.variant', '') as parent from a where trim(url) <> '' and label in ('thumb', 'large', 'hi_res')),
+        c as (select row_id, unnest(categories) as x, unnest(range(len(categories))) as n from meta_items),
+        s as (select row_id, n, case when trim(x) like '[%' and json_valid(x) then from_json(x, '["VARCHAR"]') else regexp_split_to_array(x, '[>|]|\s/\s') end as xs from c where x is not null),
+        k as (select row_id, n, unnest(xs) as x, unnest(range(len(xs))) as m from s),
+        d as (select row_id, n, m, trim(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), E' \t\n\r') as label from k),
+        p as (select row_id, row_number() over w - 1 as pos, label, coalesce(lag(label) over w, '') as parent from d where label <> '' window w as (partition by row_id order by n, m))
+        select row_id, 'images' as field, pos, label, parent from i union all select row_id, 'categories', pos, label, parent from p""",
+    "p6_found": r"""
+        with u as (
+            select 'meta_items' as t, 'description' as c, load_no as l, to_json(description)::varchar as v, list_sum(list_transform(description, lambda x: coalesce(length(x), 0)))::double as x,
+                coalesce(len(list_filter(description, lambda x: x is not null and regexp_replace(x, '\s', '', 'g') <> '')) = 0, true) as m,
+                len(list_filter(description, lambda x: x is not null and regexp_matches(x, '[A-Za-z]{3}'))) = 0 as bad from meta_items
+            union all select 'meta_items', 'price', load_no, price::varchar, price, price is null, isnan(price) or not (price > 0 and price < 100000) from meta_items
+            union all select 'reviews', 'helpful_vote', load_no, helpful_vote::varchar, helpful_vote, helpful_vote is null, not (helpful_vote between 0 and 1000000) from reviews),
+        n as (select t, c, l, count(*)::double as n, count(*) filter (m)::double as m, count(*) filter (not m and bad)::double as b, nullif(count(*) filter (not m and not bad), 0)::double as g from u group by all),
+        d as (select t, c, l, max(k)::double as top from (select t, c, l, v, count(*) as k from u where not m and not bad group by all) group by all),
+        s as (select n.t, n.c, n.l, m / n.n as miss, b / nullif(n.n - m, 0) as inv, top / g as dom, g from n left join d using (t, c, l)),
+        z as (select * from s where l = 0),
+        w as (select s.t, s.c, s.l, u.x, sum(case when u.l = s.l then 1 / s.g else -1 / z.g end) as w
+              from s join z using (t, c) join u on u.t = s.t and u.c = s.c and (u.l = s.l or u.l = 0) where s.l > 0 and s.g > 0 and z.g > 0 and not u.m and not u.bad group by all),
+        r as (select t, c, l, abs(sum(w) over (partition by t, c, l order by x)) as r from w),
+        q as (select t, c, l, max(r) as shift from r group by all),
+        a as (select s.*, z.miss as miss0, z.inv as inv0, z.dom as dom0, q.shift from s join z using (t, c) left join q on q.t = s.t and q.c = s.c and q.l = s.l where s.l > 0),
+        i as (select *, unnest(['missing', 'invalid', 'dominant', 'shift']) as issue, unnest([miss - miss0 > 0.15, inv - inv0 > 0.05, dom - dom0 > 0.2, shift > 0.3]) as holds from a)
+        select t as table_name, c as column_name, cast(l as bigint) as load_no, issue from i where holds""",
 }

@@ -57,7 +57,29 @@ def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_expressions": p6_expressions}
 
+_SPELLINGS = ", ".join(f"('{s}', '{c}')" for c, names in eav.NAMES.items() for s in names)
+_UNITS = ", ".join(f"""('{c}', '{u.replace("'", "''")}', {w})""" for c, units in eav.UNITS.items() for names, w in units.items() for u in names.split("|"))
+_NOTHING = ", ".join(f"'{x}'" for x in eav.SAYS_NOTHING)
+
 ORACLE = {
+    "p1_found": rf"""
+        with t as (select row_id, case when json_valid(details) then case json_type(details) when 'VARCHAR' then details::json ->> '$' else details end end as d from meta_items),
+        j as (select row_id, d::json as j from t where json_valid(d)),
+        a as (select row_id, k, json_extract(j, '$."' || k || '"') as v from (select row_id, j, unnest(json_keys(j)) as k from j where json_type(j) = 'OBJECT')
+              union all select row_id, coalesce(r ->> '$.name', r ->> '$.attribute', r ->> '$.k'), coalesce(json_extract(r, '$.value'), json_extract(r, '$.val'), json_extract(r, '$.v'))
+              from (select row_id, unnest(json_extract(j, '$[*]')) as r from j where json_type(j) = 'ARRAY')),
+        o as (select row_id, k, v from a where json_type(v) <> 'OBJECT' or json_extract(v, '$.value') is not null
+              union all select row_id, k, json_extract(v, '$."' || k || '"') from (select row_id, v, unnest(json_keys(v)) as k from a where json_type(v) = 'OBJECT' and json_extract(v, '$.value') is null)),
+        n(name, col) as (values {_SPELLINGS}), w(col, unit, worth) as (values {_UNITS}),
+        s as (select row_id, n.col, d.value_type as kind, lower(trim(case when json_type(v) = 'OBJECT' then (v ->> '$.value') || ' ' || (v ->> '$.unit') else v ->> '$' end)) as x
+              from o join n on n.name = trim(regexp_replace(lower(regexp_replace(k, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) join detail_columns d on d.column_name = n.col),
+        p as (select *, regexp_extract(x, '\d+(?:[.,]\d+)*', 0) as num, regexp_extract(x, '\d+(?:[.,]\d+)*[\s\-]*([\p{{L}}"]*)', 1) as unit from s where x not in ({_NOTHING})),
+        c as (select row_id, p.col, case kind
+              when 'int' then cast(round(try_cast(replace(regexp_replace(num, ',(\d{{3}})\b', '\1', 'g'), ',', '.') as double) * w.worth) as bigint)::varchar
+              when 'date' then try_strptime(x, ['%Y-%m-%d', '%Y/%m/%d', '%d.%m.%Y', '%Y%m%d', '%d %B %Y', '%B %d, %Y', '%d %b %Y', '%b %d, %Y'])::date::varchar
+              when 'bool' then case when x in ('yes', 'y', 'true') then 'true' when x in ('no', 'n', 'false', 'not waterproof') then 'false' end else x end as cell
+              from p left join w on w.col = p.col and w.unit = p.unit)
+        select distinct row_id, col as column_name, cell from c where cell is not null""",
     "p5_found": r"""
         with r as (select upper(regexp_replace(parent_asin, '[^\p{L}\p{Nd}]', '', 'g')) k, load_no, review_id, helpful_vote v from reviews),
         g as (select *, count(*) over (partition by k, load_no) n from r where length(k) = 10),

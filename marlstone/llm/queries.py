@@ -52,7 +52,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", k=10, least=0.9, graph=neighbours.Graph(degree=14, beam=28))
+    found = neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", k=10, least=0.9, graph=neighbours.Graph(degree=14, beam=24, expand=2))
     return neighbours.mutual_pairs(found, "vec_id").select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import SPACE
 from marlstone.sources.staging import stage
 
-#: Signatures that get a dense table of their own, the commonest first; all rarer ones share one table with nulls.
-DENSE_TABLES = 24
+#: Dense tables put together in one plan; of more, each lot is staged, so that no plan grows with the signatures.
+LOT = 128
 
 # fixed values: seller spellings of each wanted column, as letters only
 NAMES = {
@@ -159,32 +159,49 @@ def wide_rows(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
     return wide.select("entity", bits.alias("signature"), *[F.col(f"_c{i}.v").alias(c.name) for i, c in enumerate(columns)])
 
 
-def dense_tables(wide: DataFrame, columns: Sequence[WideColumn], most: int = DENSE_TABLES) -> dict[int | None, DataFrame]:
-    """A table per signature, with the signature's columns only, for the commonest ``most``; key None has all other entities.
+def dense_tables(wide: DataFrame, columns: Sequence[WideColumn], most: int | None = None) -> dict[int | None, DataFrame]:
+    """A table per signature, with the signature's columns only.
+
+    If ``most`` is given, only the commonest ``most`` have their own, and key None has all other entities.
 
     The rows are staged, counted by signature and parted by table; each table then reads its own folder. At most 62 columns.
     """
     if len(columns) > 62:
         raise ValueError("signatures hold at most 62 columns")
     rows = stage(wide, "wide")
-    top = [r[0] for r in rows.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(most).collect()]
-    place = F.when(F.col("signature").isin(*top), F.col("signature")).otherwise(F.lit(-1)) if top else F.lit(-1)
+    counted = rows.groupBy("signature").count().orderBy(F.desc("count"), "signature")
+    top = [r[0] for r in (counted if most is None else counted.limit(most)).collect()]
+    place = F.col("signature") if most is None else F.when(F.col("signature").isin(*top), F.col("signature")).otherwise(F.lit(-1)) if top else F.lit(-1)
     stored = stage(rows.withColumn("_table", place.cast("bigint")).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
     out: dict[int | None, DataFrame] = {
         s: stored.where(F.col("_table") == s).select("entity", *[c.name for i, c in enumerate(columns) if s >> i & 1]) for s in top
     }
-    out[None] = stored.where("_table = -1").select("entity", *[c.name for c in columns])
+    if most is not None or not top:
+        out[None] = stored.where("_table = -1").select("entity", *[c.name for c in columns])
     return out
 
 
-def wide_table(eav: DataFrame, columns: Sequence[WideColumn], most: int = DENSE_TABLES) -> DataFrame:
+def wide_table(eav: DataFrame, columns: Sequence[WideColumn], most: int | None = None) -> DataFrame:
     """``entity`` and the wanted columns, typed, one row per entity that has a row in eav: the dense tables put together.
 
     Null attributes and values are skipped; an empty input gives an empty table with all columns.
     """
-    tables = dense_tables(wide_rows(eav, columns), columns, most)
-    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables.values())
-    return joined.select("entity", *[c.name for c in columns])
+    wide = wide_rows(eav, columns)
+    kinds = dict(wide.dtypes)
+
+    def whole(t: DataFrame) -> DataFrame:
+        return t.select("entity", *[F.col(c.name) if c.name in t.columns else F.lit(None).cast(kinds[c.name]).alias(c.name) for c in columns])
+
+    tables = [whole(t) for t in dense_tables(wide, columns, most).values()]
+    if len(tables) > LOT:
+        tables = [stage(united(tables[i : i + LOT]), "lot") for i in range(0, len(tables), LOT)]
+    return united(tables)
+
+
+def united(tables: Sequence[DataFrame]) -> DataFrame:
+    """Tables of the same columns put together in a tree, so that the plan's depth grows with the logarithm of their number."""
+    half = len(tables) // 2
+    return united(tables[:half]).unionByName(united(tables[half:])) if half else tables[0]
 
 
 def cells(wide: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:

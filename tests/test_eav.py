@@ -68,6 +68,16 @@ def test_rare_signatures_share_a_table(spark):
         assert rows(eav.cells(eav.wide_table(df, cols, most), cols)) == rows(eav.cells(eav.wide_rows(df, cols), cols))
 
 
+def test_every_signature_has_a_dense_table(spark):
+    names = [("color", "red"), ("material", "oak"), ("pieces", "2"), ("waterproof", "yes"), ("weight", "2 kg"), ("length", "3 m"), ("power", "5 w"), ("warranty", "1 yr")]
+    data = [(i, n, v, 0) for i in range(256) for j, (n, v) in enumerate(names) if i >> j & 1] + [(0, None, None, 0)]
+    df, cols = spark.createDataFrame(data, "entity bigint, attribute string, value string, ord int"), columns(spark)
+    tables = eav.dense_tables(eav.wide_rows(df, cols), cols)
+    assert len(tables) == 256 and None not in tables
+    assert all(len(t.columns) == 1 + s.bit_count() for s, t in tables.items())
+    assert rows(eav.wide_table(df, cols)) == rows(eav.wide_rows(df, cols).drop("signature"))
+
+
 def test_dates_are_dates(spark):
     df = spark.createDataFrame([(1, "release_date", "2020-01-31", 0)], "entity bigint, attribute string, value string, ord int")
     assert eav.wide_table(df, columns(spark)).first()["released_on"] == datetime.date(2020, 1, 31)

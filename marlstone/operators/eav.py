@@ -1,15 +1,15 @@
 """Attribute-value rows into wide, typed tables by characteristic sets.
 
-Entity, attribute, value rows are mapped to the wanted columns, typed, and reduced to one row per entity. The set of
-columns an entity fills is its signature; entities of one signature form a dense table without a null, and the wide table
-is the union by name of the dense tables.
+Entity, attribute, value rows are mapped to the wanted columns and read, and an entity keeps one cell a column. The exact
+set of columns an entity fills is its signature, known from its rows alone; cells stay packed in the signature's order until
+each signature has its dense table, with its own columns only and no null. The wide table is the union by name of the
+dense tables, columns that a table lacks being null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ from marlstone.sources.staging import stage
 
 #: Dense tables put together in one plan; of more, each lot is staged, so that no plan grows with the signatures.
 LOT = 128
+#: Columns a wide table may have.
+MOST_COLUMNS = 10_000
+KINDS = {"int": "bigint", "date": "date", "bool": "boolean"}
 
 # fixed values: seller spellings of each wanted column, as letters only
 NAMES = {
@@ -57,10 +60,10 @@ class WideColumn:
 
 
 def wanted(catalogue: DataFrame, names: Mapping[str, Sequence[str]] = NAMES) -> list[WideColumn]:
-    """The columns of a catalogue table (column_name, value_type), a few rows by nature; a table of over 200 is refused."""
-    rows = catalogue.select("column_name", "value_type").where("column_name is not null").limit(201).collect()
-    if len(rows) > 200:
-        raise ValueError("a catalogue of wanted columns has at most 200 rows")
+    """The columns of a catalogue table (column_name, value_type), few by nature as each becomes a column; over MOST_COLUMNS are refused."""
+    rows = catalogue.select("column_name", "value_type").where("column_name is not null").limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"a catalogue of wanted columns has at most {MOST_COLUMNS:,} rows")
     return [WideColumn(r[0], r[1] or "string", tuple(names.get(r[0], (r[0].replace("_", " "),)))) for r in sorted(rows)]
 
 
@@ -140,68 +143,57 @@ def typed_cells(placed: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
 # -- the operator -------------------------------------------------------------------------------------------------------
 
 
-def wide_rows(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
-    """``entity, signature`` and a typed column per wanted column: one row per entity of ``entity, attribute, value, ord``.
+def characteristic_rows(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
+    """``entity, signature, packed``: the sorted names of the columns an entity fills, and its cells as text in that order.
 
-    Attributes of no wanted column and values that state nothing or cannot be read are left out. Of several values for a
-    column the one of smallest ord counts. Aggregation is per entity and partial first, so an entity with any number of
-    rows is never gathered. signature has a bit per filled column; entities that fill none are kept, with signature 0.
+    Input is ``entity, attribute, value, ord``. Attributes of no wanted column and values that state nothing or cannot be read
+    are left out. Of several values for a column the one of smallest ord counts. Both aggregations are partial first, so an
+    entity with any number of rows is never gathered. Entities that fill nothing are kept, with an empty signature.
     """
     placed = eav.select("entity", "ord", "value", column_of(F.col("attribute"), columns).alias("to"))
-    cells = typed_cells(placed, columns)
-    of = {"int": "i", "date": "d", "bool": "b"}
-    first = []
-    for i, c in enumerate(columns):
-        cell = F.col(of.get(c.kind, "s"))
-        first.append(F.min(F.when((F.col("to") == c.name) & cell.isNotNull(), F.struct("ord", cell.alias("v")))).alias(f"_c{i}"))
-    wide = cells.groupBy("entity").agg(*first)
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"_c{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(len(columns))])
-    return wide.select("entity", bits.alias("signature"), *[F.col(f"_c{i}.v").alias(c.name) for i, c in enumerate(columns)])
+    told = typed_cells(placed, columns).select("entity", "ord", "to", F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("b").cast("string"), "s").alias("cell"))
+    said = F.col("to").isNotNull() & F.col("cell").isNotNull()
+    one = told.select("entity", F.when(said, F.col("to")).alias("to"), "ord", "cell").groupBy("entity", "to").agg(F.min(F.when(F.col("to").isNotNull(), F.struct("ord", "cell"))).alias("first"))
+    pair = F.when(F.col("to").isNotNull(), F.struct("to", F.col("first.cell").alias("cell")))
+    packed = one.groupBy("entity").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    return packed.select("entity", F.col("p.to").alias("signature"), F.col("p.cell").alias("packed"))
 
 
-def dense_tables(wide: DataFrame, columns: Sequence[WideColumn], most: int | None = None) -> dict[int | None, DataFrame]:
-    """A table per signature, with the signature's columns only.
+def dense_tables(rows: DataFrame, columns: Sequence[WideColumn]) -> dict[tuple[str, ...], DataFrame]:
+    """A typed table per signature, with the signature's columns only.
 
-    If ``most`` is given, only the commonest ``most`` have their own, and key None has all other entities.
-
-    The rows are staged, counted by signature and parted by table; each table then reads its own folder. At most 62 columns.
+    Rows are written once, parted by signature; each table then reads its own folder. Signatures come to the driver, as
+    many as there are tables.
     """
-    if len(columns) > 62:
-        raise ValueError("signatures hold at most 62 columns")
-    rows = stage(wide, "wide")
-    counted = rows.groupBy("signature").count().orderBy(F.desc("count"), "signature")
-    top = [r[0] for r in (counted if most is None else counted.limit(most)).collect()]
-    place = F.col("signature") if most is None else F.when(F.col("signature").isin(*top), F.col("signature")).otherwise(F.lit(-1)) if top else F.lit(-1)
-    stored = stage(rows.withColumn("_table", place.cast("bigint")).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
-    out: dict[int | None, DataFrame] = {
-        s: stored.where(F.col("_table") == s).select("entity", *[c.name for i, c in enumerate(columns) if s >> i & 1]) for s in top
-    }
-    if most is not None or not top:
-        out[None] = stored.where("_table = -1").select("entity", *[c.name for c in columns])
+    kind = {c.name: KINDS.get(c.kind, "string") for c in columns}
+    named = F.md5(F.concat_ws("\u001f", "signature").cast("binary"))
+    stored = stage(rows.withColumn("_table", named).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
+    known = stored.groupBy("_table").agg(F.first("signature").alias("signature")).collect()
+    out = {}
+    for table, signature in sorted((r[0], tuple(r[1])) for r in known):
+        own = [F.col("packed")[i].cast(kind[c]).alias(c) for i, c in enumerate(signature)]
+        out[signature] = stored.where(F.col("_table") == table).select("entity", *own)
     return out
 
 
-def wide_table(eav: DataFrame, columns: Sequence[WideColumn], most: int | None = None) -> DataFrame:
+def wide_table(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
     """``entity`` and the wanted columns, typed, one row per entity that has a row in eav: the dense tables put together.
 
     Null attributes and values are skipped; an empty input gives an empty table with all columns.
     """
-    wide = wide_rows(eav, columns)
-    kinds = dict(wide.dtypes)
-
-    def whole(t: DataFrame) -> DataFrame:
-        return t.select("entity", *[F.col(c.name) if c.name in t.columns else F.lit(None).cast(kinds[c.name]).alias(c.name) for c in columns])
-
-    tables = [whole(t) for t in dense_tables(wide, columns, most).values()]
+    tables = list(dense_tables(characteristic_rows(eav, columns), columns).values())
+    if not tables:
+        tables = [eav.select("entity").limit(0)]
     if len(tables) > LOT:
         tables = [stage(united(tables[i : i + LOT]), "lot") for i in range(0, len(tables), LOT)]
-    return united(tables)
+    whole = united(tables)
+    return whole.select("entity", *[F.col(c.name) if c.name in whole.columns else F.lit(None).cast(KINDS.get(c.kind, "string")).alias(c.name) for c in columns])
 
 
 def united(tables: Sequence[DataFrame]) -> DataFrame:
-    """Tables of the same columns put together in a tree, so that the plan's depth grows with the logarithm of their number."""
+    """Tables put together by name in a tree, so that the plan's depth grows with the logarithm of their number."""
     half = len(tables) // 2
-    return united(tables[:half]).unionByName(united(tables[half:])) if half else tables[0]
+    return united(tables[:half]).unionByName(united(tables[half:]), allowMissingColumns=True) if half else tables[0]
 
 
 def cells(wide: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:

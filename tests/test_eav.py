@@ -56,26 +56,25 @@ def test_wide_rows_keep_every_entity(spark):
     assert eav.wide_table(df.limit(0), columns(spark)).count() == 0
 
 
-def test_rare_signatures_share_a_table(spark):
-    data = [(i, n, v, 0) for i in range(30) for j, (n, v) in enumerate([("color", "red"), ("material", "oak"), ("pieces", "2"), ("waterproof", "yes")]) if i >> j & 1]
-    df, cols = spark.createDataFrame(data, "entity bigint, attribute string, value string, ord int"), columns(spark)
-    tables = eav.dense_tables(eav.wide_rows(df, cols), cols, most=3)
-    assert len(tables) == 4 and sum(t.count() for t in tables.values()) == 28  # 0 and 16 have no attribute
-    for signature, t in tables.items():
-        if signature is not None:  # dense: no nulls
-            assert t.na.drop().count() == t.count()
-    for most in (0, 3, 99):
-        assert rows(eav.cells(eav.wide_table(df, cols, most), cols)) == rows(eav.cells(eav.wide_rows(df, cols), cols))
-
-
 def test_every_signature_has_a_dense_table(spark):
-    names = [("color", "red"), ("material", "oak"), ("pieces", "2"), ("waterproof", "yes"), ("weight", "2 kg"), ("length", "3 m"), ("power", "5 w"), ("warranty", "1 yr")]
-    data = [(i, n, v, 0) for i in range(256) for j, (n, v) in enumerate(names) if i >> j & 1] + [(0, None, None, 0)]
+    names = [("color", "red"), ("material", "oak"), ("pieces", "2"), ("waterproof", "yes"), ("weight", "2 kg"), ("length", "3 m"), ("power", "5 w"), ("warranty", "1 yr"), ("release date", "2020-01-31")]
+    data = [(i, n, v, 0) for i in range(512) for j, (n, v) in enumerate(names) if i >> j & 1] + [(0, None, None, 0)]
     df, cols = spark.createDataFrame(data, "entity bigint, attribute string, value string, ord int"), columns(spark)
-    tables = eav.dense_tables(eav.wide_rows(df, cols), cols)
-    assert len(tables) == 256 and None not in tables
-    assert all(len(t.columns) == 1 + s.bit_count() for s, t in tables.items())
-    assert rows(eav.wide_table(df, cols)) == rows(eav.wide_rows(df, cols).drop("signature"))
+    tables = eav.dense_tables(eav.characteristic_rows(df, cols), cols)
+    assert len(tables) == 512 and all(t.columns == ["entity", *s] for s, t in tables.items())
+    one = tables["color", "piece_count", "released_on", "waterproof"]
+    assert [tuple(r) for r in one.collect()] == [(1 + 4 + 8 + 256, "red", 2, datetime.date(2020, 1, 31), True)]
+    wide = {r["entity"]: r for r in eav.wide_table(df, cols).collect()}
+    want = {"color": "red", "material": "oak", "piece_count": 2, "waterproof": True, "weight_g": 2000, "length_mm": 3000, "power_w": 5, "warranty_months": 12, "released_on": datetime.date(2020, 1, 31)}
+    # every row of the result is in a dense table: what is filled is what the signature says
+    assert len(wide) == 512 and all(wide[i][c] == (v if i >> j & 1 else None) for i in range(512) for j, (c, v) in enumerate(want.items()))
+
+
+def test_more_columns_than_a_word_has_bits(spark):
+    cols = eav.wanted(spark.createDataFrame([(f"c{i}", "string") for i in range(100)], "column_name string, value_type string"))
+    df = spark.createDataFrame([(i % 3, f"c{i}", f"v{i}", 0) for i in range(100)], "entity bigint, attribute string, value string, ord int")
+    got = {r["entity"]: r.asDict() for r in eav.wide_table(df, cols).collect()}
+    assert len(got) == 3 and all(got[e][f"c{i}"] == (f"v{i}" if i % 3 == e else None) for e in got for i in range(100))
 
 
 def test_dates_are_dates(spark):

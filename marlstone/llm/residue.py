@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices: positive-unlabelled naive Bayes by expectation-maximisation.
 
-Texts are cut into passages. A few strict patterns name passages that can be trusted to be residue or error text; all
-other passages are unlabelled. Naive Bayes over hashed words and word pairs starts with the trusted passages against all
-others, and expectation-maximisation then moves unlabelled passages by their posterior. The passages' scores decide over
-records: a slot in a passage of residue is enough, other kinds must make up most of what the record says.
+Texts are cut into passages. A few seed patterns, a handful for each kind, name passages that are labelled; all others are
+unlabelled. Naive Bayes over hashed words and word pairs starts with the labelled passages, and those that are found mostly
+beside them, against all others, and expectation-maximisation then moves unlabelled passages by their
+posterior. The model alone decides over passages, labelled or not, and their scores decide over records: a slot in a
+passage of residue is enough, other kinds must make up most of what the record says.
 """
 
 from __future__ import annotations
@@ -20,36 +21,35 @@ from marlstone.functions.text import SPACE, unescape_entities
 from marlstone.sources.staging import stage
 
 BUCKETS, ROUNDS, SMOOTHING = 1 << 16, 6, 0.01
-#: A record is trusted as a whole if trusted passages without slots hold this share of its words.
-TRUSTED_SHARE = 0.3
+#: A passage is labelled, too, if in this share of the records it shares with others, labelled passages make up this share of the others.
+SEEDED_SHARE = 0.25
+#: Rounds in which labels spread between passages of one record, and records a passage must share with others to be labelled so.
+SPREAD_ROUNDS, LEAST_COMPANY = 3, 2
 #: Weights are held within this, so that one word seen in one class only does not decide alone.
 MOST_WEIGHT = 6.0
 
 # fixed values: ways to write a slot, each with a name inside
-_NAME = r"[\p{L}_][\p{L}\p{Nd}_. \-]{0,40}"
-_TIGHT = r"[\p{L}_](?:[\p{L}\p{Nd}_. \-]{0,39}[\p{L}\p{Nd}_])?"
+_NAME = r"[\p{L}_][\p{L}\p{Nd}_. \-]*+"
+_TIGHT = r"[\p{L}_](?:[\p{L}\p{Nd}_. \-]*[\p{L}\p{Nd}_])?"
 SLOTS = (
     rf"\{{\{{\{{?\s*{_NAME}\s*\}}\}}\}}?", rf"<%=?\s*{_NAME}\s*%>", rf"\{{%\s*{_NAME}\s*%\}}", rf"\$\{{\s*{_NAME}\s*\}}", rf"\*\|\s*{_NAME}\s*\|\*", rf"%\({_NAME}\)s",
-    rf"\[\[\s*{_NAME}\s*\]\]", rf"@@{_NAME}@@", r"__[\p{L}][\p{L}\p{Nd}. \-]*(?:_[\p{L}\p{Nd}. \-]+)*__", r"(?i)\[(?:insert|your)\s[^\]]{1,40}\]", r"(?i)<(?:insert|your)\s[^>]{1,40}>",
+    rf"\[\[\s*{_NAME}\s*\]\]", rf"@@{_NAME}@@", r"__[\p{L}][\p{L}\p{Nd}. \-]*(?:_[\p{L}\p{Nd}. \-]+)*__", r"(?i)\[(?:insert|your)\s[^\]]+\]", r"(?i)<(?:insert|your)\s[^>]+>",
     rf"\{{\s*{_NAME}\s*\}}", rf"\[\s*{_NAME}\s*\]", rf"%{_TIGHT}%", rf"#{_TIGHT}#", rf"\${_TIGHT}\$", rf"<\s*{_NAME}\s*>",
 )
+#: What every slot begins with.
+MARKS = r"[{<$*%\[@_#]"
 #: Tags of markup that are dropped; anything else between angle brackets may be a slot.
 TAGS = r"(?i)</?(?:p|br|b|i|u|em|strong|div|span|li|ul|ol|h[1-6]|a|img|table|tr|td|th|tbody|thead|hr|font|small|sup|sub)(?:\s[^>]*)?/?>"
 #: What programs print for a value that is missing.
 VOIDS = r"(?i)(?<![\p{L}\p{Nd}])(?:undefined|nan|null|none|\[object object\])(?![\p{L}\p{Nd}])|#ref!|#n/a|#value!"
 
-# fixed values: patterns over a whole masked passage that are trusted
-TRUSTED = (
+#: Labelled passages, as few patterns as each kind needs to be known by: slots and void values by their places, then one or two
+#: messages per kind and language.
+SEEDS = (
     r"zslotz\b.*\bzslotz", r"zasked\b", r"zvoidz\b.*\bzvoidz", r"^\p{L}+ (?:zvoidz|zslotz)$",
-    r"^(?:error|fehler|erreur) 0+\b", r"^0+ (?:page )?not found\b", r"^(?:page|seite|página) (?:not found|nicht gefunden|no encontrada)$", r"^http 0+$", r"^access denied$", r"^internal server error\b", r"^too many requests$",
-    r"^(?:service|site|page) (?:is )?temporarily unavailable\b", r"^gateway timeout\b", r"^unhandled exception\b", r"^connection to database failed\b", r"^(?:sorry )?this (?:page|listing|item) (?:does not exist|has been removed)\b",
-    r"^(?:please )?enable javascript\b", r"^javascript is (?:disabled|required)\b", r"^(?:bitte aktivieren sie|veuillez activer|active|activez|aktivieren sie) javascript\b", r"^checking your browser\b", r"^verify that you are human\b", r"^your browser is not supported\b",
-    r"^this site needs scripts\b", r"\bcould not find (?:that|the|this) page$", r"^(?:sorry )?something went wrong\b", r"^your session has expired\b", r"\bscripts (?:may be|are) blocked$", r"\b(?:switch on|enable|allow) cookies\b",
-    r"^(?:zugriff verweigert|accès refusé|acceso denegado)\b", r"^(?:diese )?seite gibt es nicht\b", r"^cette page n existe\b", r"^esta página (?:ya )?no existe\b", r"^(?:erreur|error) 0+ pag\w* introuvable$",
-    r"^(?:dienst|service|servicio) (?:vorübergehend|momentanément|temporalmente)?\s?(?:nicht erreichbar|indisponible|no disponible)\b", r"^(?:ohne skripte|sin scripts|sans scripts?)\b", r"\bscripts soient autorisés$",
-    r"^(?:lorem|ipsum|dolor|sit|amet|consec\w*|adipis\w*|elit|sed|magna|aliqua|veniam|nostrud|ullam\w*|labor\w*|nulla|pariat\w*|irure|culpa|officia|mollit|esse|velit|minim|tempor|sint|sunt|cupid\w*|fugiat|commodo|occae\w*| )+$",
-    r"^(?:(?:xxx|asdf|qwer|test|text|bla|blah)\s?){2,}$", r"^your text (?:goes )?here$", r"^this is a placeholder\b", r"^(?:sample|dummy|placeholder) (?:text|copy)\b", r"^(?:insert copy|description pending|todo write)\b", r"^add (?:product )?description here$",
-    r"^(?:texto de relleno|texte à remplacer|blindtext)\b", r"^hier steht später\b", r"^(?:bullet|heading|item|point) (?:one|two|three|four|five)$",
+    r"^(?:error|fehler|erreur) 0+\b", r"\bpage not found$", r"^access denied$", r"^internal server error\b", r"^(?:zugriff verweigert|accès refusé|acceso denegado)\b",
+    r"^(?:please )?enable javascript\b", r"^checking your browser\b", r"^(?:bitte aktivieren sie|veuillez activer|active) javascript\b", r"\b(?:ohne skripte|sin scripts|les scripts soient)\b",
+    r"^(?:lorem|ipsum|dolor|amet|elit)\b.*\b(?:lorem|ipsum|dolor|amet|elit)$", r"^(?:(?:xxx|asdf|test|bla)\s?){2,}$", r"^your text goes here$",
 )
 NAVIGATION = ("home", "shop", "search", "menu", "cart", "account", "contact", "help", "terms", "back", "to", "start", "login", "c", "imprint", "privacy")
 
@@ -70,6 +70,7 @@ def masked(text: Column) -> Column:
     out = text
     for i, s in enumerate(SLOTS):
         out = F.regexp_replace(out, s, " zasked zslotz " if i in (9, 10) else " zslotz ")
+    out = F.when(text.rlike(MARKS), out).otherwise(text)  # most passages have no such mark and are spared all that
     out = F.regexp_replace(out, VOIDS, " zvoidz ")
     out = F.regexp_replace(F.lower(out), r"\p{Nd}+", "0")
     return F.trim(F.regexp_replace(out, r"[^\p{L}0]+", " "))
@@ -92,8 +93,8 @@ def is_navigation(said: Column) -> Column:
     return foot | ~F.exists(words, lambda w: ~w.isin(*NAVIGATION))
 
 
-def is_trusted(said: Column) -> Column:
-    return said.rlike("|".join(f"(?:{p})" for p in TRUSTED))
+def is_seed(said: Column) -> Column:
+    return said.rlike("|".join(f"(?:{p})" for p in SEEDS))
 
 
 def features(said: Column) -> Column:
@@ -117,10 +118,10 @@ def _scores(lists: pd.Series, model: Model) -> np.ndarray:
 
 
 def fit(counted: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation over ``features, trusted, n`` (distinct passages with their counts).
+    """Expectation-maximisation over ``features, labelled, n`` (distinct passages with their counts).
 
-    Trusted passages stay in the class throughout. A round is one pass; what comes back is a sum per bucket, at most
-    BUCKETS rows. Without any trusted passage nothing is in the class and every weight is 0.
+    Labelled passages stay in the class while the model is fitted. A round is one pass; what comes back is a sum per bucket, at most
+    BUCKETS rows. Without any labelled passage nothing is in the class and every weight is 0.
     """
     spark = counted.sparkSession
 
@@ -131,7 +132,7 @@ def fit(counted: DataFrame, rounds: int = ROUNDS) -> Model:
             total, size = np.zeros(BUCKETS + 1), 0
             for b in batches:
                 p = np.zeros(len(b)) if held.value is None else _scores(b["features"], held.value)
-                p = np.where(b["trusted"], 1.0, np.where(p > 1e-4, p, 0.0)) * b["n"]
+                p = np.where(b["labelled"], 1.0, np.where(p > 1e-4, p, 0.0)) * b["n"]
                 some = np.flatnonzero(p)
                 if len(some):
                     lists = b["features"].to_numpy()[some]
@@ -168,31 +169,39 @@ def flag_records(records: DataFrame, key: str, text: str, rounds: int = ROUNDS)
 
     slot_passages counts passages of residue with a slot or void value. bad_words are words in passages of residue,
     words all words, navigation left out of both. A record is flagged if it has a slot passage or if bad_words are more
-    than half of words. Null, blank and wordless texts have no row. Repeated keys are taken as one record.
+    than half of words. Null, blank and wordless texts have no row. Repeated keys are taken as one record. Passages are
+    known by a hash of 64 bits.
     """
     spark = records.sparkSession
-    counted = passages(records, key, text).groupBy("key", "said").agg(F.count(F.lit(1)).alias("n"))
-    slotted, words = F.col("said").rlike(r"\b(?:zslotz|zvoidz)\b"), F.size(F.split("said", " ")) * F.col("n")
-    per_record = stage(counted.withColumns({"trusted": is_trusted(F.col("said")), "navigation": is_navigation(F.col("said"))}), "passages")
-    # records of which a good part is trusted error or filler text are trusted as a whole
-    said = per_record.where("not navigation").groupBy("key").agg(F.sum(words).alias("words"), F.sum(F.when(F.col("trusted") & ~slotted, words)).alias("known"))
-    trusted = said.where(F.col("known") >= TRUSTED_SHARE * F.col("words")).select("key", F.lit(1).alias("whole"))
-    within = per_record.where("not navigation").join(trusted, "key", "left").groupBy("said").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted"), F.coalesce(F.sum(F.col("n") * F.col("whole")), F.lit(0)).alias("inside"))
-    plain = stage(within.select("said", "n", (F.col("trusted") | (3 * F.col("inside") >= F.col("n"))).alias("trusted"), features(F.col("said")).alias("features")), "features")
-    model = spark.sparkContext.broadcast(fit(plain.select("features", "trusted", "n"), rounds))
+    size = F.size(F.split("said", " "))
+    told = stage(passages(records, key, text).groupBy("key", "said").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("said")), "told")
+    distinct = told.groupBy("h", "said").agg(F.sum("n").alias("n"))
+    known = stage(distinct.select("h", "n", features(F.col("said")).alias("features"), size.alias("words"), is_seed(F.col("said")).alias("seed"), is_navigation(F.col("said")).alias("navigation"), F.col("said").rlike(r"\b(?:zslotz|zvoidz)\b").alias("slotted")), "passages")
+
+    each = stage(told.select("key", "h", "n").join(known.where("not navigation").select("h", (F.col("words")).alias("size")), "h").select("key", "h", (F.col("n") * F.col("size")).alias("words")), "each")
+    every = each.groupBy("key").agg(F.sum("words").alias("all"), F.count(F.lit(1)).alias("passages"))
+    company = stage(each.join(every.where("passages > 1"), "key").groupBy("h").agg(F.count(F.lit(1)).alias("company")), "company")
+    labels = stage(known.where("seed and not navigation").select("h", (~F.col("slotted")).alias("spreads")), "labels")
+    for _ in range(SPREAD_ROUNDS):
+        part = each.join(labels.where("spreads"), "h").groupBy("key").agg(F.sum("words").alias("labelled"))
+        rest = each.join(part, "key").join(every, "key").join(labels.select("h", F.lit(1).alias("known")), "h", "left").where("known is null and all > words")
+        inside = rest.where(F.col("labelled") >= SEEDED_SHARE * (F.col("all") - F.col("words"))).groupBy("h").agg(F.count(F.lit(1)).alias("inside"))
+        new = inside.join(company, "h").where((F.col("company") >= LEAST_COMPANY) & (F.col("inside") >= SEEDED_SHARE * F.col("company")))
+        labels = stage(labels.unionByName(new.select("h", F.lit(True).alias("spreads"))), "labels")
+    plain = known.where("not navigation").join(labels.select("h", F.lit(True).alias("labelled")), "h", "left")
+    plain = stage(plain.select("h", "n", "features", "words", "slotted", F.coalesce("labelled", F.lit(False)).alias("labelled")), "features")
+    model = spark.sparkContext.broadcast(fit(plain.select("features", "labelled", "n"), rounds))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = np.where(b["trusted"], 1.0, _scores(b["features"], model.value))
-            yield pd.DataFrame({"said": b["said"], "p": p})
+            yield pd.DataFrame({"h": b["h"], "words": b["words"], "slotted": b["slotted"], "bad": _scores(b["features"], model.value) > 0.5})
 
-    judged = plain.mapInPandas(judge, "said string, p double")
-    scored = per_record.join(judged, "said", "left")
-    bad = F.col("p") > 0.5
-    slot = bad & slotted
+    judged = plain.select("h", "words", "slotted", "features").mapInPandas(judge, "h bigint, words int, slotted boolean, bad boolean")
+    words = F.col("n") * F.col("words")
+    scored = told.select("key", "h", "n").join(judged, "h", "left")
     summed = scored.groupBy("key").agg(
-        F.coalesce(F.sum(F.when(slot, F.col("n"))), F.lit(0)).alias("slot_passages"), F.coalesce(F.sum(F.when(bad, words)), F.lit(0)).alias("bad_words"),
-        F.coalesce(F.sum(F.when(F.col("p").isNotNull(), words)), F.lit(0)).alias("words"),
+        F.coalesce(F.sum(F.when(F.col("bad") & F.col("slotted"), F.col("n"))), F.lit(0)).alias("slot_passages"), F.coalesce(F.sum(F.when(F.col("bad"), words)), F.lit(0)).alias("bad_words"),
+        F.coalesce(F.sum(words), F.lit(0)).alias("words"),
     )
     flagged = (F.col("slot_passages") > 0) | ((F.col("bad_words") > 0) & (2 * F.col("bad_words") > F.col("words")))
     return summed.select(F.col("key").alias(key), "slot_passages", "bad_words", "words", flagged.alias("flagged"))

@@ -2,8 +2,9 @@
 
 Rows are first reduced to distinct values with a count per load; everything after that works on distinct values. Each
 value has a chain of ever more general expressions. Expressions form a tree, and the cheapest cut through it, measured in
-bits for the expressions plus bits for the values under them, is found bottom-up by one aggregation per level. The rows an
-expression covers in each load are then compared with the baseline load, beside the standard aggregates.
+bits for the expressions plus bits for the values under them, is found bottom-up by one aggregation per level. A cut never
+puts conforming and violating values under one expression, so the rows that violate are those under expressions that do.
+The rows an expression covers in each load are compared with the baseline load, beside the standard aggregates.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ EXPRESSION_BITS, REPEAT_BITS = 6.0, 4.0
 #: An expression conforms if it covers this share of the baseline's values that are not missing.
 CONFORMING_SHARE = 0.01
 LEVELS = 6
-KS_BUCKETS = 64
+#: Distinct numbers that one task sums up.
+KS_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -60,19 +62,18 @@ def distinct_values(df: DataFrame, table_name: str, columns: Sequence[Measured],
 
 
 #: Characters that stand for a class while expressions are compared; they are private use, so no text means them.
-CAPITAL, SMALL, DIGIT, LETTER, SPACE, LETTERS, PHRASE, WORDS, OTHERS, ANY = (chr(0xE000 + i) for i in range(10))
-CLASSES = {
-    CAPITAL: "[A-Z]", SMALL: "[a-z]", DIGIT: r"\d", LETTER: r"\p{L}", SPACE: r"\s", LETTERS: r"\p{L}", PHRASE: r"[\p{L}\s]",
-    WORDS: r"[\p{L}\p{Nd}\s]", OTHERS: r"[^\p{L}\p{Nd}\s]", ANY: ".",
-}
+CAPITAL, SMALL, DIGIT, LETTER, SPACE, LETTERS, PHRASE, TEXT, ANY = (chr(0xE000 + i) for i in range(9))
+CLASSES = {CAPITAL: "[A-Z]", SMALL: "[a-z]", DIGIT: r"\d", LETTER: r"\p{L}", SPACE: r"\s", LETTERS: r"\p{L}", PHRASE: r"[\p{L}\s]", TEXT: "", ANY: "."}
+#: Any number of phrases, each optional, with anything between them.
+TEXT_EXPRESSION = r"(?:[\p{L}\s]*[^\p{L}\s]+)*[\p{L}\s]*"
 
 
 def expression_chain(value: Column) -> dict[str, Column]:
     """``e1 .. e6``, expressions from narrow to wide that match the value, and ``b1 .. b6``, its bits under each.
 
     1 counted runs of capitals, small letters, digits, other letters and space, punctuation as it is; 2 the same, not
-    counted; 3 letters in one class; 4 letters and spaces in one class; 5 words of letters, digits and spaces, and runs
-    of anything else; 6 anything. Expressions are held with one character per class; see as_regex.
+    counted; 3 letters in one class; 4 letters and spaces in one class; 5 phrases in any number with anything between
+    them, where there is a phrase; 6 anything. Expressions are held with one character per class; see as_regex.
     """
     marked = mark_classes(value)
     steps = widen(marked)
@@ -80,10 +81,11 @@ def expression_chain(value: Column) -> dict[str, Column]:
     long, small, digits = F.length(value).cast("double"), count(marked, CAPITAL + SMALL), count(marked, DIGIT)
     other, blank = count(marked, LETTER), count(marked, SPACE)
     fixed = small * 4.7 + digits * 3.3 + other * 7.0
-    runs, letters, phrases, wide = (steps[f"e{i}"] for i in (2, 3, 4, 5))
+    runs, letters, phrases = (steps[f"e{i}"] for i in (2, 3, 4))
+    b4 = fixed + small + 5.0 * blank + REPEAT_BITS * count(phrases, PHRASE + DIGIT)
     return steps | {
         "b1": fixed, "b2": fixed + REPEAT_BITS * count(runs, CAPITAL + SMALL + DIGIT + LETTER + SPACE), "b3": fixed + small + REPEAT_BITS * count(letters, LETTERS + DIGIT + SPACE),
-        "b4": fixed + small + 5.0 * blank + REPEAT_BITS * count(phrases, PHRASE + DIGIT), "b5": long * 6.2 + REPEAT_BITS * F.length(wide), "b6": long * 8.0 + REPEAT_BITS,
+        "b4": b4, "b5": F.when(steps["e5"] == TEXT, b4 + 8.0 * (long - small - digits - other - blank)).otherwise(b4), "b6": long * 8.0 + REPEAT_BITS,
     }
 
 
@@ -103,8 +105,7 @@ def widen(marked: Column) -> dict[str, Column]:
     runs = F.regexp_replace(marked, f"([{CAPITAL}-{SPACE}])\\1+", "$1")
     letters = F.regexp_replace(runs, f"[{CAPITAL}{SMALL}{LETTER}]+", LETTERS)
     phrases = F.regexp_replace(letters, f"[{LETTERS}{SPACE}]+", PHRASE)
-    wide = F.regexp_replace(F.regexp_replace(phrases, f"[{DIGIT}{PHRASE}]+", WORDS), f"[^{WORDS}]+", OTHERS)
-    return {"e1": marked, "e2": runs, "e3": letters, "e4": phrases, "e5": wide, "e6": F.lit(ANY)}
+    return {"e1": marked, "e2": runs, "e3": letters, "e4": phrases, "e5": F.when(phrases.contains(PHRASE), TEXT).otherwise(phrases), "e6": F.lit(ANY)}
 
 
 def as_regex(held: Column, counted: Column) -> Column:
@@ -113,7 +114,8 @@ def as_regex(held: Column, counted: Column) -> Column:
     lookup = F.create_map(*[F.lit(x) for m, c in CLASSES.items() for x in (m, c)])
     pieces = F.regexp_extract_all(plain, F.lit(f"([{CAPITAL}-{ANY}])\\1*|[^{CAPITAL}-{ANY}]+"), 0)
     repeat = lambda p: F.when(counted, F.concat(F.lit("{"), F.length(p).cast("string"), F.lit("}"))).otherwise(F.lit("+"))
-    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.concat(F.try_element_at(lookup, F.substring(p, 1, 1)), repeat(p)), p)), "")
+    spelt = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.concat(F.try_element_at(lookup, F.substring(p, 1, 1)), repeat(p)), p)), "")
+    return F.when(held == TEXT, TEXT_EXPRESSION).otherwise(spelt)
 
 
 def hashed_chain(values: DataFrame) -> DataFrame:
@@ -127,37 +129,39 @@ def hashed_chain(values: DataFrame) -> DataFrame:
 def cut_tree(values: DataFrame) -> DataFrame:
     """``column_name, h1, level``: the level at which the cheapest cut meets the chain that starts with expression h1.
 
-    ``values`` has one row per ``column_name`` and distinct ``value``, nulls excluded. Bottom-up, a level keeps what its
-    own expression costs for all values under it or what the level below costs, whichever is less; the cut is the
-    uppermost expression kept. Ties go to the wider expression.
+    ``values`` has one row per ``column_name`` and distinct ``value``, nulls excluded, and ``bad``, whether it violates.
+    Bottom-up, a level keeps what its own expression costs for all values under it or what the level below costs,
+    whichever is less; an expression over values of both kinds of ``bad`` is not to be had. Level 0 is every value by
+    itself. The cut is the uppermost expression kept. Ties go to the wider expression.
     """
-    at = hashed_chain(values).withColumn("below", F.lit(float("inf")))
+    at = hashed_chain(values).withColumns({"below": F.length("value") * EXPRESSION_BITS, "lo": F.col("bad"), "hi": F.col("bad")})
     kept: list[DataFrame] = []
     for i in range(1, LEVELS + 1):
         rest = range(i, LEVELS + 1)
         sums = [F.sum(f"b{j}").alias(f"b{j}") for j in rest] + [F.max(f"c{j}").alias(f"c{j}") for j in rest]
-        at = at.groupBy("column_name", *[f"h{j}" for j in rest]).agg(*sums, F.sum("below").alias("below"))
+        at = at.groupBy("column_name", *[f"h{j}" for j in rest]).agg(*sums, F.sum("below").alias("below"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         at = stage(at, f"level{i}")
-        own = F.col(f"b{i}") + F.col(f"c{i}")
+        own = F.when(F.col("lo") == F.col("hi"), F.col(f"b{i}") + F.col(f"c{i}")).otherwise(float("inf"))
         at = at.withColumns({f"t{i}": own <= F.col("below"), "below": F.least(own, "below")})
         kept.append(at.select("column_name", *[f"h{j}" for j in rest], f"t{i}"))
         at = at.drop(f"t{i}")
     out = kept[0]
     for i in range(2, LEVELS + 1):
         out = out.join(kept[i - 1], ["column_name", *[f"h{j}" for j in range(i, LEVELS + 1)]])
-    return out.select("column_name", "h1", F.coalesce(*[F.when(F.col(f"t{i}"), F.lit(i)) for i in range(LEVELS, 0, -1)]).alias("level"))
+    return out.select("column_name", "h1", F.coalesce(*[F.when(F.col(f"t{i}"), F.lit(i)) for i in range(LEVELS, 0, -1)], F.lit(0)).alias("level"))
 
 
 def induce(values: DataFrame) -> DataFrame:
-    """``values`` (``column_name``, ``value`` and any others, distinct or counted) with the ``level`` and ``expression`` each falls under.
+    """``values`` (``column_name``, ``value``, ``bad`` and any others, distinct or counted) with the ``level`` and ``expression`` each falls under.
 
-    Expressions come from all distinct values of a column. Null values and an empty table give no row.
+    Expressions come from all distinct values of a column; no expression has values of both kinds of ``bad``, which is a
+    matter of the value alone. Null values and an empty table give no row.
     """
     known = values.where(F.col("value").isNotNull() & F.col("column_name").isNotNull())
-    cuts = cut_tree(known.select("column_name", "value").distinct())
+    cuts = cut_tree(known.select("column_name", "value", "bad").distinct())
     marked = known.withColumn("e1", mark_classes(F.col("value"))).withColumn("h1", F.xxhash64("e1"))
     steps = widen(F.col("e1"))  # only the one of the value's level is worked out
-    picked = marked.join(cuts, ["column_name", "h1"]).withColumn("held", F.coalesce(*[F.when(F.col("level") == i, steps[f"e{i}"]) for i in range(1, LEVELS + 1)]))
+    picked = marked.join(cuts, ["column_name", "h1"]).withColumn("held", F.coalesce(*[F.when(F.col("level") == i, steps[f"e{i}"]) for i in range(1, LEVELS + 1)], F.col("value")))
     return picked.select(*values.columns, "level", as_regex(F.col("held"), F.col("level") == 1).alias("expression"))
 
 
@@ -175,8 +179,11 @@ def largest_shift(valid: DataFrame, totals: DataFrame, keys: Sequence[str]) -> D
     own = valid.where("load_no != 0").join(later, [*keys, "load_no"]).select(*keys, "load_no", "x", (F.col("n") / F.col("of")).alias("w"))
     first = valid.where("load_no = 0").drop("load_no").join(base, list(keys)).join(later.drop("of"), list(keys)).select(*keys, "load_no", "x", (-F.col("n") / F.col("of_0")).alias("w"))
     steps = own.unionByName(first).groupBy(*keys, "load_no", "x").agg(F.sum("w").alias("w"))
-    marks = F.array(*[F.lit(i / KS_BUCKETS) for i in range(1, KS_BUCKETS)])
-    edges = valid.select(*keys, "x").distinct().groupBy(*keys).agg(F.percentile_approx("x", marks, 2000).alias("edges"))
+    distinct = valid.select(*keys, "x").distinct()
+    most = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    buckets = -(-most // KS_VALUES) + 1
+    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = distinct.groupBy(*keys).agg(F.percentile_approx("x", marks, 50 * buckets).alias("edges"))
     placed = steps.join(edges, list(keys)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
     sums = placed.groupBy(*keys, "load_no", "bucket").agg(F.sum("w").alias("s"))
     before = Window.partitionBy(*keys, "load_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,26 +199,26 @@ def profile(values: DataFrame) -> DataFrame:
     ``n_rows, missing, invalid, distinct_values, low, high, dominant, shift, nonconforming, expression_shift``, with the
     baseline's shares beside them as ``missing_0, invalid_0, dominant_0``.
 
-    missing is a share of all rows, invalid of rows not missing, dominant of valid rows; a share of none is null.
+    missing is a share of all rows, invalid of rows not missing, dominant of valid rows; a share of none is null. invalid
+    is the share of the rows that violating expressions cover, valid rows are those under the others.
     nonconforming is the share of rows not missing under expressions that cover less than CONFORMING_SHARE of load 0;
     expression_shift is half the summed differences of coverage. Load 0 is the baseline; without it nothing is compared.
     """
     keys = ["table_name", "column_name"]
     values = stage(values, "values")
-    some = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, F.col("n"))), F.lit(0))
-    valid = values.where("state = 'valid'")
-    totals = values.groupBy(*keys, "load_no").agg(
-        F.sum("n").alias("n_rows"), some("missing").alias("n_missing"), some("invalid").alias("n_invalid"), some("valid").alias("valid"),
-        F.count_if(F.col("state") != "missing").alias("distinct_values"), F.min("x").alias("low"), F.max("x").alias("high"),
-        F.max(F.when(F.col("state") == "valid", F.col("n"))).alias("top"),
+    told = values.where("state != 'missing'").withColumns({"value_of": F.col("column_name"), "column_name": F.concat_ws(".", *keys), "bad": F.col("state") == "invalid"})
+    under = induce(told).withColumn("column_name", F.col("value_of"))
+    # an expression violates as its values do; the rows it covers are its rows of each load
+    cover = stage(under.groupBy(*keys, "load_no", "level", "expression").agg(F.sum("n").alias("n"), F.max("bad").alias("bad"), F.max("n").alias("top"), F.count(F.lit(1)).alias("values")), "cover")
+    spread = cover.groupBy(*keys, "load_no").agg(
+        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_invalid"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("valid"),
+        F.max(F.when(~F.col("bad"), F.col("top"))).alias("top"), F.sum("values").alias("distinct_values"),
     )
-    by_x = valid.groupBy(*keys, "load_no", "x").agg(F.sum("n").alias("n"))
+    plain = values.groupBy(*keys, "load_no").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("state") == "missing", F.col("n")).otherwise(0)).alias("n_missing"), F.min("x").alias("low"), F.max("x").alias("high"))
+    totals = stage(plain.join(spread, [*keys, "load_no"], "left").fillna(0, ["n_invalid", "valid", "distinct_values"]), "totals")
+    by_x = values.where("state = 'valid'").groupBy(*keys, "load_no", "x").agg(F.sum("n").alias("n"))
     shift = largest_shift(by_x, totals, keys)
 
-    told = values.where("state != 'missing'")
-    name = F.concat_ws(".", *keys)
-    under = induce(told.withColumns({"value_of": F.col("column_name"), "column_name": name}))
-    cover = under.withColumn("column_name", F.col("value_of")).groupBy(*keys, "load_no", "level", "expression").agg(F.sum("n").alias("n"))
     all_of = totals.select(*keys, "load_no", (F.col("n_rows") - F.col("n_missing")).alias("of"))
     shares = cover.join(all_of, [*keys, "load_no"]).select(*keys, "load_no", "level", "expression", (F.col("n") / F.col("of")).alias("share"))
     base = shares.where("load_no = 0").select(*keys, "level", "expression", F.col("share").alias("share_0"))

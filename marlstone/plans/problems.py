@@ -51,7 +51,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
     """Expressions of prices and votes with the rows they cover."""
-    values = quality.catalogue_values(table(spark, d, "meta_items"), table(spark, d, "reviews")).where("state != 'missing'")
+    values = quality.catalogue_values(table(spark, d, "meta_items"), table(spark, d, "reviews")).where("state != 'missing'").withColumn("bad", F.col("state") == "invalid")
     return quality.induce(values).groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_rows"))
 
 

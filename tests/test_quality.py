@@ -33,8 +33,8 @@ def test_shift_is_exact(spark, monkeypatch):
     a, b = [1, 1, 2, 5, 9, 9, 30], [1, 4, 4, 5, 6, 31]
     want = max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v in a + b)
     df = spark.createDataFrame([(0, x) for x in a] + [(1, x) for x in b], REVIEW)
-    for buckets in (2, 3, 64):
-        monkeypatch.setattr(quality, "KS_BUCKETS", buckets)
+    for values in (1, 3, 100):
+        monkeypatch.setattr(quality, "KS_VALUES", values)
         p = quality.profile(quality.catalogue_values(spark.createDataFrame([], ITEM), df)).where("load_no = 1").first()
         assert abs(p["shift"] - want) < 1e-9
 
@@ -45,6 +45,10 @@ def test_edges(spark):
     assert found(spark, [(0, None, None), (1, None, None)], [(0, None), (1, None)]) == []
 
 
+def bad(value):
+    return value.startswith("AB-003") or value == ""
+
+
 def naive_cut(values):
     """Cheapest cut by trying every antichain of the small tree, through the same chains."""
     nodes = {}
@@ -54,8 +58,10 @@ def naive_cut(values):
 
     def best(lvl, key):
         own = sum(v[f"b{lvl}"] for v in nodes[lvl, key]) + len(key[0]) * quality.EXPRESSION_BITS
+        if len({bad(v["value"]) for v in nodes[lvl, key]}) > 1:
+            own = float("inf")
         if lvl == 1:
-            return own
+            return min(own, sum(len(v["value"]) * quality.EXPRESSION_BITS for v in nodes[lvl, key]))
         below = {k for (n, k) in nodes if n == lvl - 1 and k[1:] == key}
         return min(own, sum(best(lvl - 1, k) for k in below))
 
@@ -64,15 +70,36 @@ def naive_cut(values):
 
 def test_expressions(spark):
     texts = [f"{a}{b}.{c}0" for a, b, c in product("123", "45", "67")] + [f"AB-{i:04d}" for i in range(40)] + ["n/a", "Ünïcode ß", "(x)*[y]", "", "z" * 3000]
-    df = spark.createDataFrame([("c", t) for t in texts] + [("c", None), (None, "q")], "column_name string, value string")
+    df = spark.createDataFrame([("c", t, bad(t)) for t in texts] + [("c", None, False), (None, "q", False)], "column_name string, value string, bad boolean")
     got = {r["value"]: r for r in quality.induce(df).collect()}
     assert set(got) == set(texts)
     for t, r in got.items():
         assert re.fullmatch(r["expression"].replace(r"\p{L}\s", r"\w\s").replace(r"\p{L}\p{Nd}\s", r"\w\s").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{Nd}", r"\d"), t, re.S), (t, r["expression"])
-    assert got["AB-0007"]["expression"] == r"[A-Z]{2}-\d{4}" and got["14.60"]["expression"] == r"\d{2}\.\d{2}"
+    assert got["14.60"]["expression"] == r"\d{2}\.\d{2}"
+    kinds = {}
+    for t, r in got.items():
+        kinds.setdefault(r["expression"], set()).add(bad(t))
+    assert all(len(v) == 1 for v in kinds.values()) and got["AB-0031"]["level"] == 0 != got["14.60"]["level"]
     chain = quality.expression_chain(F.col("value"))
     plain = spark.createDataFrame([(t,) for t in texts], "value string").select("value", *[c.alias(n) for n, c in chain.items()]).collect()
     level = {t: r["level"] for t, r in got.items()}
-    used = {(level[v["value"]], v[f"e{level[v['value']]}"]) for v in plain}
-    spent = sum(v[f"b{level[v['value']]}"] for v in plain) + sum(len(e) * quality.EXPRESSION_BITS for _, e in used)
+    used = {(level[v["value"]], v[f"e{level[v['value']]}"] if level[v["value"]] else v["value"]) for v in plain}
+    spent = sum(v[f"b{level[v['value']]}"] for v in plain if level[v["value"]]) + sum(len(e) * quality.EXPRESSION_BITS for _, e in used)
     assert abs(spent - naive_cut(plain)) < 1e-6
+
+
+def test_invalid_is_what_violating_expressions_cover(spark, monkeypatch):
+    items = [(k, ["Some words here"], p) for k, ps in ((0, [1.5, 2.5, 30.0, 0.0]), (1, [1.5, -2.0, -3.0, 200000.0])) for p in ps]
+    values = quality.catalogue_values(spark.createDataFrame(items, ITEM), spark.createDataFrame([], REVIEW))
+    shares = lambda: {r["load_no"]: r["invalid"] for r in quality.profile(values).where("column_name = 'price'").collect()}
+    assert shares() == {0: 0.25, 1: 0.75}
+    monkeypatch.setattr(quality, "induce", lambda v: v.withColumn("level", F.lit(6)).withColumn("expression", F.lit(".+")))
+    assert shares() == {0: 1.0, 1: 1.0}  # without expressions nothing tells what violates
+
+
+def test_many_texts_have_few_expressions(spark):
+    rng = __import__("random").Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = [", ".join(" ".join(word() for _ in range(rng.randint(1, 6))).capitalize() for _ in range(rng.randint(2, 12))) + "." for _ in range(600)] + [f"{i}.99" for i in range(100)]
+    df = spark.createDataFrame([("c", t, False) for t in texts], "column_name string, value string, bad boolean")
+    assert quality.induce(df).select("expression").distinct().count() < 20

@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import connected_components
+from marlstone.operators.skew import number_in_key, ordered_ranges
 from marlstone.operators.vectors import cosine_pairs
 from marlstone.sources.staging import stage
 
@@ -27,8 +28,8 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     core = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("a"), "core")
     from_core = pairs.join(core, "a").select("a", "b")
     parts = connected_components(from_core.join(core.select(F.col("a").alias("b")), "b", "left_semi"))
-    number = F.dense_rank().over(Window.orderBy("component")) - 1
-    numbers = parts.select("component").distinct().withColumn("cluster", number)
+    ranged = ordered_ranges(parts.select("component").distinct(), "component").withColumn("_one", F.lit(0))
+    numbers = number_in_key(ranged, ["_one"], part=F.col("_range"), order=F.col("component")).select("component", F.col("place").alias("cluster"))
     cores = stage(parts.join(numbers, "component").select(F.col("node").alias("a"), "cluster"), "numbered")
     border = from_core.join(cores, "a").groupBy("b").agg(F.min("cluster").alias("c")).select(F.col("b").alias(key), "c")
     own = cores.select(F.col("a").alias(key), "cluster")
@@ -39,10 +40,8 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
 def ward_labels(x: np.ndarray, clusters: int) -> np.ndarray:
     """Labels of Ward's agglomeration cut at ``clusters``, by nearest-neighbour chains; numbered by first member."""
     n = len(x)
-    sizes, d = np.ones(n), ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) / 2 if n <= 2_000 else None
-    if d is None:
-        sq = (x**2).sum(1)
-        d = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0) / 2
+    sizes, sq = np.ones(n), (x**2).sum(1)
+    d = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0) / 2
     np.fill_diagonal(d, np.inf)
     alive, chain, merges = np.ones(n, bool), [], []
     while alive.sum() > 1:

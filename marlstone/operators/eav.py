@@ -9,6 +9,7 @@ dense tables, columns that a table lacks being null.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ from marlstone.functions.text import SPACE
 from marlstone.sources.staging import stage
 
 #: Dense tables put together in one plan; of more, each lot is staged, so that no plan grows with the signatures.
-LOT = 128
+LOT = 16
+#: Lots that are put together at a time, each by jobs of its own.
+THREADS = 4
 #: Columns a wide table may have.
 MOST_COLUMNS = 10_000
 KINDS = {"int": "bigint", "date": "date", "bool": "boolean"}
@@ -169,11 +172,14 @@ def dense_tables(rows: DataFrame, columns: Sequence[WideColumn]) -> dict[tuple[s
     named = F.md5(F.concat_ws("\u001f", "signature").cast("binary"))
     stored = stage(rows.withColumn("_table", named).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
     known = stored.groupBy("_table").agg(F.first("signature").alias("signature")).collect()
-    out = {}
-    for table, signature in sorted((r[0], tuple(r[1])) for r in known):
-        own = [F.col("packed")[i].cast(kind[c]).alias(c) for i, c in enumerate(signature)]
-        out[signature] = stored.where(F.col("_table") == table).select("entity", *own)
-    return out
+
+    def dense(named: tuple[str, tuple[str, ...]]) -> tuple[tuple[str, ...], DataFrame]:
+        table, signature = named
+        own = [f"cast(packed[{i}] as {kind[c]}) as `{c}`" for i, c in enumerate(signature)]
+        return signature, stored.where(f"_table = '{table}'").selectExpr("entity", *own)
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        return dict(pool.map(dense, sorted((r[0], tuple(r[1])) for r in known)))
 
 
 def wide_table(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
@@ -185,7 +191,9 @@ def wide_table(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
     if not tables:
         tables = [eav.select("entity").limit(0)]
     if len(tables) > LOT:
-        tables = [stage(united(tables[i : i + LOT]), "lot") for i in range(0, len(tables), LOT)]
+        lots = [tables[i : i + LOT] for i in range(0, len(tables), LOT)]
+        with ThreadPoolExecutor(THREADS) as pool:
+            tables = list(pool.map(lambda lot: stage(united(lot), "lot"), lots))
     whole = united(tables)
     return whole.select("entity", *[F.col(c.name) if c.name in whole.columns else F.lit(None).cast(KINDS.get(c.kind, "string")).alias(c.name) for c in columns])
 

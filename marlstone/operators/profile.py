@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def describe(df: DataFrame, column: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
 
 
+def histogram_by(df: DataFrame, by: str, column: str, bins: int) -> DataFrame:
+    """``by, bin, bin_center, n``: equal-width bins from the least to the largest value of each group, the last one closed.
+
+    Null groups are a group; a group of one value has one row with null bin. Null and NaN values are left out.
+    """
+    some = df.select(F.col(by).alias("_by"), F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    counted = some.groupBy("_by", "x").agg(F.count(F.lit(1)).alias("n"))
+    span = counted.groupBy("_by").agg(F.min("x").alias("lo"), ((F.max("x") - F.min("x")) / bins).alias("w")).withColumnRenamed("_by", "_of")
+    placed = counted.join(span, F.col("_by").eqNullSafe(F.col("_of")))
+    at = F.least(F.try_divide(F.col("x") - F.col("lo"), F.col("w")).try_cast("int"), F.lit(bins - 1))
+    at = F.when(F.col("w") > 0, at)
+    binned = placed.select(F.col("_by").alias(by), at.alias("bin"), (F.col("lo") + (at + 0.5) * F.col("w")).alias("bin_center"), "n")
+    return binned.groupBy(by, "bin").agg(F.max("bin_center").alias("bin_center"), F.sum("n").alias("n"))
+
+
 def histogram(df: DataFrame, column: str, bins: int, last_closed: bool = False) -> DataFrame:
     """``bin, bin_center, n``: equal-width bins from the least to the largest value.
 
@@ -103,6 +119,11 @@ def term_counts(df: DataFrame, by: str, terms: Column) -> DataFrame:
     return df.select(by, F.explode(terms).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_rows(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """k rows at random, without repeats."""
-    return df.orderBy(F.rand(seed)).limit(k)
+def random_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """k rows at random, without repeats: those whose key hashes lowest with the seed, whatever the order of the input. Keys are distinct."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(k)
+
+
+def sampled_union(df: DataFrame, key: str, k: int, seeds: Sequence[int]) -> DataFrame:
+    """The distinct rows of several random samples of k rows each, by rising key; at most k rows a seed."""
+    return reduce(DataFrame.unionByName, [random_rows(df, key, k, s) for s in seeds]).dropDuplicates([key]).orderBy(key)

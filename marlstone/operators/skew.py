@@ -1,8 +1,8 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
 Rows are counted per key and input partition, the counts are prefix-summed into offsets, every row gets its exact place
-within its key, and places are cut into chunks of equal size. A chunk is the unit of work, so no task ever holds more
-than a chunk of a key; chunk states are then merged per key in chunk order.
+within its key, and places are cut into chunks of equal size. A chunk is the unit of an aggregate; rows of a key
+are numbered by the input partition they come from, and chunk states are merged per key in chunk order.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.json import json_keys, json_size
-from marlstone.functions.text import ENTITIES, array_sentences, clean_text, concat_sections, is_filled, sentences, words
+from marlstone.functions.text import array_sentences, clean_text, concat_sections, is_filled, sentences, words
 from marlstone.operators import cluster, models, profile, rank, vectors
 from marlstone.sources.images import image_entries
 from marlstone.sources.jsonl import REVIEWS, read_jsonl
@@ -126,7 +126,12 @@ def top_details_per_category(spark: SparkSession, d: str) -> DataFrame:
     return rank.top_items_per_top_group(keyed, "main_category", "item", 10, 20).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(
+    """with e as (select row_id, unnest(images) as e from meta_items), o as (select row_id, e::json as j from e where json_valid(e) and json_type(e) = 'OBJECT'),
+    k as (select row_id, j ->> '$.variant' as variant, j, unnest(json_keys(j)) as type from o)
+    select row_id, type, variant, json_extract_string(j, '$."' || type || '"') as url from k
+    where type <> 'variant' and coalesce(json_extract(j, '$."' || type || '"')::varchar not like '[%' and json_extract(j, '$."' || type || '"')::varchar not like '{%', true)"""
+)
 def image_addresses(spark: SparkSession, d: str) -> DataFrame:
     return image_entries(table(spark, d, "meta_items"), "row_id")
 
@@ -217,24 +222,32 @@ def category_box_sample(spark: SparkSession, d: str) -> DataFrame:
     return profile.box_sample(stats, 500, 1, "main_category")
 
 
-@query()
+@query("select vec_id from sentence_vectors order by md5('7|' || vec_id), vec_id limit 20")
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    return profile.random_rows(table(spark, d, "sentence_vectors").select("vec_id"), 20, 7)
+    return profile.random_rows(table(spark, d, "sentence_vectors").select("vec_id"), "vec_id", 20, 7)
 
 
-# -- text -------------------------------------------------------------------------------------------------------------------
+@query(" union ".join(f"(select vec_id, label from embeddings order by md5('{seed}|' || vec_id), vec_id limit 20)" for seed in (1, 2, 3, 4)))
+def sampled_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points that four samples of 20 show, each once, in order."""
+    return profile.sampled_union(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 20, (1, 2, 3, 4))
 
-_SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+@query(" union all ".join(f"(select {seed} as panel, vec_id from embeddings order by md5('{seed}|' || vec_id), vec_id limit 20)" for seed in (1, 2, 3, 4)))
+def plane_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Which points each of four panels of the plane shows; joined with plane_projection by vec_id they have their places."""
+    points = table(spark, d, "embeddings").select("vec_id")
+    return union_all(*[profile.random_rows(points, "vec_id", 20, seed).select(F.lit(seed).alias("panel"), "vec_id") for seed in (1, 2, 3, 4)])
 
 
-def _clean_sql(c: str) -> str:
-    out = c
-    for name, char in ENTITIES.items():
-        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace(regexp_replace({out}, '<[^>]+>', ' ', 'g'), '{_SPACES}', ' ', 'g'))"
+# -- text -------------------------------------------------------------------------------------------------------------------
+
+_SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query(f"select review_id, load_no, {_clean_sql('text')} as text from reviews")
+@query(
+    f"""select review_id, load_no, trim(regexp_replace(regexp_replace(replace(replace(text, '&#34;', '"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '{_SPACES}', ' ', 'g')) as text from reviews"""
+)
 def clean_reviews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reviews").select("review_id", "load_no", clean_text("text").alias("text"))
 
@@ -271,12 +284,15 @@ def terms_by_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with w as (select doc_type, len(regexp_extract_all(lower(text), '[\\p{L}]+')) as c from documents where text is not null)
-    select doc_type, cast(c // 30 as bigint) as bin, count(*) as n from w group by all"""
+    """with c as (select doc_type, cast(len(regexp_extract_all(lower(text), '[\\p{L}]+')) as double) as x from documents where text is not null),
+    m as (select doc_type, min(x) as lo, (max(x) - min(x)) / 30.0 as w from c group by 1),
+    b as (select doc_type, least(cast(trunc((x - lo) / nullif(w, 0)) as int), case when w > 0 then 29 end) as bin, lo, w from c join m using (doc_type))
+    select doc_type, bin, max(lo + (bin + 0.5) * w) as bin_center, count(*) as n from b group by all"""
 )
 def word_count_histogram(spark: SparkSession, d: str) -> DataFrame:
-    counted = table(spark, d, "documents").where("text is not null").select("doc_type", F.floor(F.size(words("text")) / 30).alias("bin"))
-    return counted.groupBy("doc_type", "bin").agg(F.count(F.lit(1)).alias("n"))
+    """Word counts of texts by kind of document, 30 bins of equal width each."""
+    counted = table(spark, d, "documents").where("text is not null").select("doc_type", F.size(words("text")).alias("n_words"))
+    return profile.histogram_by(counted, "doc_type", "n_words", 30)
 
 
 @query()
@@ -315,9 +331,13 @@ def k_distances(spark: SparkSession, d: str) -> DataFrame:
     return vectors.k_distance(table(spark, d, "embeddings"), "vec_id", "embedding", 10).select("vec_id", _r("distance"))
 
 
-@query()
+@query(
+    """with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+    p as (select a.vec_id, greatest(1 - list_cosine_similarity(a.v, b.v), 0) as dist from e a, e b),
+    r as (select *, row_number() over (partition by vec_id order by dist) as r from p) select row_number() over (order by dist) as place, round(dist, 6) as distance from r where r = 10"""
+)
 def k_distance_curve(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.k_distance_curve(vectors.k_distance(table(spark, d, "embeddings"), "vec_id", "embedding", 10))
+    return vectors.k_distance_curve(vectors.k_distance(table(spark, d, "embeddings"), "vec_id", "embedding", 10)).select("place", _r("distance"))
 
 
 @query(
@@ -328,7 +348,16 @@ def head_per_label(spark: SparkSession, d: str) -> DataFrame:
     return rank.head_per_group(table(spark, d, "embeddings"), "label", "vec_id", 10).select("label", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(
+    """with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings where len(embedding) > 0),
+    p as materialized (select a.vec_id as a, b.vec_id as b from e a, e b where 1 - list_cosine_similarity(a.v, b.v) <= 0.66),
+    c as materialized (select a from p group by a having count(*) >= 5),
+    g as materialized (select p.a, p.b from p join c on c.a = p.a join c d on d.a = p.b),
+    t(n, m) as (select a, a from c union select g.b, t.m from t join g on g.a = t.n where t.m < g.b),
+    k as (select n, min(m) as m from t group by n), l as (select n, dense_rank() over (order by m) - 1 as cluster from k),
+    x as (select p.b as n, min(l.cluster) as cluster from p join l on l.n = p.a group by 1)
+    select e.vec_id, cast(coalesce(l.cluster, x.cluster, -1) as int) as cluster from e left join l on l.n = e.vec_id left join x on x.n = e.vec_id"""
+)
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", 0.66, 5)
 

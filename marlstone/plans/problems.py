@@ -57,9 +57,24 @@ def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_expressions": p6_expressions}
 
-_SPELLINGS = ", ".join(f"('{s}', '{c}')" for c, names in eav.NAMES.items() for s in names)
-_UNITS = ", ".join(f"""('{c}', '{u.replace("'", "''")}', {w})""" for c, units in eav.UNITS.items() for names, w in units.items() for u in names.split("|"))
-_NOTHING = ", ".join(f"'{x}'" for x in eav.SAYS_NOTHING)
+# what the columns mean and the units are worth, written out once more, so that the SQL does not follow the operator's own tables
+_SPELLINGS = """('weight', 'weight_g'), ('item weight', 'weight_g'), ('product weight', 'weight_g'), ('net weight', 'weight_g'), ('gewicht', 'weight_g'), ('poids', 'weight_g'), ('peso', 'weight_g'),
+    ('length', 'length_mm'), ('item length', 'length_mm'), ('product length', 'length_mm'), ('länge', 'length_mm'), ('longueur', 'length_mm'), ('longitud', 'length_mm'),
+    ('power', 'power_w'), ('wattage', 'power_w'), ('power consumption', 'power_w'), ('leistung', 'power_w'), ('puissance', 'power_w'), ('potencia', 'power_w'),
+    ('warranty', 'warranty_months'), ('warranty period', 'warranty_months'), ('manufacturer warranty', 'warranty_months'), ('garantie', 'warranty_months'), ('garantía', 'warranty_months'),
+    ('pieces', 'piece_count'), ('piece count', 'piece_count'), ('number of pieces', 'piece_count'), ('anzahl teile', 'piece_count'),
+    ('release date', 'released_on'), ('released on', 'released_on'), ('date first available', 'released_on'), ('first available on', 'released_on'), ('available since', 'released_on'),
+    ('waterproof', 'waterproof'), ('is waterproof', 'waterproof'), ('wasserdicht', 'waterproof'), ('color', 'color'), ('colour', 'color'), ('farbe', 'color'), ('couleur', 'color'),
+    ('material', 'material'), ('material type', 'material'), ('matériau', 'material')"""
+_UNITS = """('weight_g', 'g', 1), ('weight_g', 'gr', 1), ('weight_g', 'gram', 1), ('weight_g', 'grams', 1), ('weight_g', 'kg', 1000), ('weight_g', 'lb', 453.59237), ('weight_g', 'lbs', 453.59237),
+    ('weight_g', 'pound', 453.59237), ('weight_g', 'pounds', 453.59237), ('weight_g', 'oz', 28.349523125), ('weight_g', 'ounce', 28.349523125), ('weight_g', 'ounces', 28.349523125),
+    ('length_mm', 'mm', 1), ('length_mm', 'millimeters', 1), ('length_mm', 'millimetres', 1), ('length_mm', 'centimeters', 10), ('length_mm', 'centimetres', 10), ('length_mm', 'centimeter', 10), ('length_mm', 'meters', 1000), ('length_mm', 'metres', 1000), ('length_mm', 'meter', 1000), ('length_mm', 'foot', 304.8),
+    ('weight_g', 'kgs', 1000), ('weight_g', 'kilograms', 1000), ('weight_g', 'kilogram', 1000), ('weight_g', 'gramm', 1), ('weight_g', 'kilo', 1000), ('weight_g', 'mg', 0.001), ('power_w', 'kilowatts', 1000), ('warranty_months', 'mos', 1), ('warranty_months', 'monat', 1), ('warranty_months', 'jahr', 12), ('piece_count', 'ct', 1), ('piece_count', 'set', 1), ('length_mm', 'cm', 10), ('length_mm', 'm', 1000), ('length_mm', 'in', 25.4), ('length_mm', 'inch', 25.4), ('length_mm', 'inches', 25.4), ('length_mm', '"', 25.4),
+    ('length_mm', 'ft', 304.8), ('length_mm', 'feet', 304.8), ('power_w', 'w', 1), ('power_w', 'watt', 1), ('power_w', 'watts', 1), ('power_w', 'kw', 1000), ('power_w', 'kilowatt', 1000),
+    ('warranty_months', 'mo', 1), ('warranty_months', 'mths', 1), ('warranty_months', 'month', 1), ('warranty_months', 'months', 1), ('warranty_months', 'monate', 1), ('warranty_months', 'y', 12),
+    ('warranty_months', 'yr', 12), ('warranty_months', 'yrs', 12), ('warranty_months', 'year', 12), ('warranty_months', 'years', 12), ('warranty_months', 'jahre', 12),
+    ('piece_count', '', 1), ('piece_count', 'pc', 1), ('piece_count', 'pcs', 1), ('piece_count', 'piece', 1), ('piece_count', 'pieces', 1), ('piece_count', 'pack', 1), ('piece_count', 'count', 1), ('piece_count', 'teile', 1)"""
+_NOTHING = "'', '-', '--', '?', 'n/a', 'n.a.', 'na', 'none', 'null', 'nan', 'tbd', 'tba', 'unknown', 'various', 'see description', 'not specified', 'not applicable'"
 
 ORACLE = {
     "p1_found": rf"""
@@ -126,3 +141,8 @@ ORACLE = {
         i as (select *, unnest(['missing', 'invalid', 'dominant', 'shift']) as issue, unnest([miss - miss0 > 0.15, inv - inv0 > 0.05, dom - dom0 > 0.2, shift > 0.3]) as holds from a)
         select t as table_name, c as column_name, cast(l as bigint) as load_no, issue from i where holds""",
 }
+_CELLS = ORACLE["p1_found"]
+ORACLE["p1_wide"] = f"""
+        with f as ({_CELLS}), p as (select row_id, {", ".join(f"max(cell) filter (column_name = '{c}') as {c}" for c in ("weight_g", "length_mm", "power_w", "warranty_months", "piece_count", "released_on", "waterproof", "color", "material"))} from f group by 1)
+        select m.row_id, {", ".join(f"cast(p.{c} as {t}) as {c}" for c, t in (("weight_g", "bigint"), ("length_mm", "bigint"), ("power_w", "bigint"), ("warranty_months", "bigint"), ("piece_count", "bigint"), ("released_on", "date"), ("waterproof", "boolean"), ("color", "varchar"), ("material", "varchar")))}
+        from meta_items m left join p on p.row_id = m.row_id"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 class Config:
     """Where raw files and tables live; every field can come from the environment."""
 
-    raw_root: str = field(default_factory=lambda: os.environ.get("BASE_JSON_PATH", "data/raw"))
+    raw_root: str = field(default_factory=lambda: os.environ.get("MARLSTONE_RAW", "data/raw"))
     table_root: str = field(default_factory=lambda: os.environ.get("MARLSTONE_TABLES", "data/tables"))
     table_format: str = field(default_factory=lambda: os.environ.get("MARLSTONE_FORMAT", "parquet"))
 

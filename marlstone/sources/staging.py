@@ -1,7 +1,8 @@
 """Intermediate tables in the folder all executors share.
 
 A staged table cuts lineage and survives the loss of any executor: it is an ordinary Parquet table under the folder that
-``spark.checkpoint.dir`` names. Only where that setting is missing (tests, notebooks) is a temporary folder made.
+``spark.checkpoint.dir`` names. Only in local mode, where all tasks share one machine, is a temporary folder made if that
+setting is missing; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

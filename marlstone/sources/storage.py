@@ -36,10 +36,11 @@ def list_tables(spark: SparkSession, schema: str | None = None) -> list[str]:
 
 
 def materialize(spark: SparkSession, name: str, make: Callable[[], DataFrame], refresh: bool = False, config: Config | None = None) -> DataFrame:
-    """The stored table of that name; it is made and written first if it is missing or to be refreshed."""
+    """The stored table of that name; it is made and written first if it is missing, was not written to its end, or is to be refreshed."""
     config = config or Config()
     path = config.table(name)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    marks = {"delta": "_delta_log", "iceberg": "metadata"}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{marks.get(config.table_format, '_SUCCESS')}")
     there = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
     if refresh or not there:
         write_path(make(), path, config.table_format)

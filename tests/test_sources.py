@@ -34,7 +34,7 @@ def test_storage(spark, tmp_path):
 
 
 def test_workspace_leaves_a_given_session_running(spark, tmp_path, monkeypatch):
-    monkeypatch.setenv("BASE_JSON_PATH", "/raw")
+    monkeypatch.setenv("MARLSTONE_RAW", "/raw")
     assert Config().raw("a.jsonl") == "/raw/a.jsonl"
     storage.write_path(spark.range(5), str(tmp_path / "t"))
     with Workspace(spark, Config(table_root=str(tmp_path))) as w:

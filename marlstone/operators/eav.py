@@ -9,7 +9,6 @@ dense tables, columns that a table lacks being null.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +18,7 @@ from marlstone.functions.text import SPACE
 from marlstone.sources.staging import stage
 
 #: Dense tables put together in one plan; of more, each lot is staged, so that no plan grows with the signatures.
-LOT = 16
-#: Lots that are put together at a time, each by jobs of its own.
-THREADS = 4
+LOT = 32
 #: Columns a wide table may have.
 MOST_COLUMNS = 10_000
 KINDS = {"int": "bigint", "date": "date", "bool": "boolean"}
@@ -162,24 +159,24 @@ def characteristic_rows(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFr
     return packed.select("entity", F.col("p.to").alias("signature"), F.col("p.cell").alias("packed"))
 
 
-def dense_tables(rows: DataFrame, columns: Sequence[WideColumn]) -> dict[tuple[str, ...], DataFrame]:
-    """A typed table per signature, with the signature's columns only.
-
-    Rows are written once, parted by signature; each table then reads its own folder. Signatures come to the driver, as
-    many as there are tables.
-    """
-    kind = {c.name: KINDS.get(c.kind, "string") for c in columns}
+def by_signature(rows: DataFrame) -> tuple[DataFrame, list[tuple[str, tuple[str, ...]]]]:
+    """(rows staged and parted by ``_table``, (table, signature) of each). Signatures come to the driver, as many as there are tables."""
     named = F.md5(F.concat_ws("\u001f", "signature").cast("binary"))
     stored = stage(rows.withColumn("_table", named).hint("rebalance", "_table"), "signatures", partition_by=("_table",))
     known = stored.groupBy("_table").agg(F.first("signature").alias("signature")).collect()
+    return stored, sorted((r[0], tuple(r[1])) for r in known)
 
-    def dense(named: tuple[str, tuple[str, ...]]) -> tuple[tuple[str, ...], DataFrame]:
-        table, signature = named
-        own = [f"cast(packed[{i}] as {kind[c]}) as `{c}`" for i, c in enumerate(signature)]
-        return signature, stored.where(f"_table = '{table}'").selectExpr("entity", *own)
 
-    with ThreadPoolExecutor(THREADS) as pool:
-        return dict(pool.map(dense, sorted((r[0], tuple(r[1])) for r in known)))
+def dense_table(stored: DataFrame, table: str, signature: Sequence[str], columns: Sequence[WideColumn]) -> DataFrame:
+    """The typed table of one signature, with its columns only; it reads its own folder."""
+    kind = {c.name: KINDS.get(c.kind, "string") for c in columns}
+    return stored.where(f"_table = '{table}'").selectExpr("entity", *[f"cast(packed[{i}] as {kind[c]}) as `{c}`" for i, c in enumerate(signature)])
+
+
+def dense_tables(rows: DataFrame, columns: Sequence[WideColumn]) -> dict[tuple[str, ...], DataFrame]:
+    """A typed table per signature of ``characteristic_rows`` output."""
+    stored, known = by_signature(rows)
+    return {signature: dense_table(stored, table, signature, columns) for table, signature in known}
 
 
 def wide_table(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
@@ -187,13 +184,11 @@ def wide_table(eav: DataFrame, columns: Sequence[WideColumn]) -> DataFrame:
 
     Null attributes and values are skipped; an empty input gives an empty table with all columns.
     """
-    tables = list(dense_tables(characteristic_rows(eav, columns), columns).values())
-    if not tables:
-        tables = [eav.select("entity").limit(0)]
-    if len(tables) > LOT:
-        lots = [tables[i : i + LOT] for i in range(0, len(tables), LOT)]
-        with ThreadPoolExecutor(THREADS) as pool:
-            tables = list(pool.map(lambda lot: stage(united(lot), "lot"), lots))
+    stored, known = by_signature(characteristic_rows(eav, columns))
+    lots = [known[i : i + LOT] for i in range(0, len(known), LOT)]
+    tables = [united([dense_table(stored, t, s, columns) for t, s in lot]) for lot in lots[:1]] or [eav.select("entity").limit(0)]
+    if len(lots) > 1:
+        tables = [stage(united([dense_table(stored, t, s, columns) for t, s in lot]), "lot") for lot in lots]
     whole = united(tables)
     return whole.select("entity", *[F.col(c.name) if c.name in whole.columns else F.lit(None).cast(KINDS.get(c.kind, "string")).alias(c.name) for c in columns])
 

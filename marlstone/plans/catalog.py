@@ -14,9 +14,9 @@ from marlstone.functions.json import json_keys, json_size
 from marlstone.functions.text import array_sentences, clean_text, concat_sections, is_filled, sentences, words
 from marlstone.operators import cluster, models, profile, rank, vectors
 from marlstone.sources.images import image_entries
-from marlstone.sources.jsonl import REVIEWS, read_jsonl
-from marlstone.sources.staging import shared_dir
-from marlstone.sources.storage import union_all
+from marlstone.sources.jsonl import ITEMS, REVIEWS, read_items, read_jsonl
+from marlstone.sources.staging import scratch
+from marlstone.sources.storage import read_path, union_all, write_path
 from marlstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,7 +295,17 @@ def word_count_histogram(spark: SparkSession, d: str) -> DataFrame:
     return profile.histogram_by(counted, "doc_type", "n_words", 30)
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in models.STOP_WORDS)
+
+
+@query(
+    f"""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}]+'), lambda x: length(x) > 1 and x not in ({_STOP})) as w from documents),
+    t as (select doc_id, unnest(w) as term from w union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w),
+    f as (select doc_id, term, count(*) as tf from t group by all), n as (select term, count(*) as df from f group by 1),
+    s as (select doc_id, term, round(tf * (ln(((select count(*) from documents) + 1.0) / (df + 1)) + 1), 9) as score from f join n using (term)),
+    r as (select *, row_number() over (partition by doc_id order by score desc, term) as r from s)
+    select d.doc_id, coalesce(list(term order by r) filter (term is not null), []) as keywords from documents d left join r on r.doc_id = d.doc_id and r.r <= 5 group by 1"""
+)
 def document_keywords(spark: SparkSession, d: str) -> DataFrame:
     return models.keywords(table(spark, d, "documents"), "doc_id", "text", 5)
 
@@ -303,13 +313,28 @@ def document_keywords(spark: SparkSession, d: str) -> DataFrame:
 @query("select cast(rating as double) as rating, helpful_vote, parent_asin, timestamp from reviews")
 def reviews_through_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Reviews written as JSON lines and read back under the fixed schema."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     table(spark, d, "reviews").select(*REVIEWS.fieldNames()).write.json(path)
     return read_jsonl(spark, path, REVIEWS).select(F.col("rating").cast("double").alias("rating"), "helpful_vote", "parent_asin", "timestamp")
 
 
+@query("select parent_asin, title, store, rating_number, average_rating::double as average_rating, len(features) as n_features from meta_items")
+def items_through_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Listings written as JSON lines and read back under the fixed schema."""
+    path = scratch(spark, "jsonl")
+    table(spark, d, "meta_items").select(*ITEMS.fieldNames()).write.json(path)
+    n = F.when(F.col("features").isNotNull(), F.size("features")).cast("bigint").alias("n_features")
+    return read_items(spark, path).select("parent_asin", "title", "store", "rating_number", F.col("average_rating").cast("double").alias("average_rating"), n)
+
+
+@query("select main_category, count(*) as n from meta_items group by 1")
+def stored_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table written by path, parted, and read back in its format."""
+    path = scratch(spark, "table")
+    write_path(table(spark, d, "meta_items").select("row_id", "main_category", "load_no"), path, partition_by=("load_no",))
+    return read_path(spark, path).groupBy("main_category").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- vectors ------------------------------------------------------------------------------------------------------------------
 
 

@@ -45,6 +45,12 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     return quality.profile(quality.catalogue_values(table(spark, d, "meta_items"), table(spark, d, "reviews")))
 
 
+def p6_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The standard aggregates of the profile, by column and load."""
+    rounded = [F.round(c, 9).alias(c) for c in ("missing", "invalid", "dominant", "shift")]
+    return p6_profile(spark, d).select("table_name", "column_name", "load_no", "n_rows", "distinct_values", *rounded)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.issues(p6_profile(spark, d))
 
@@ -55,7 +61,7 @@ def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
     return quality.induce(values).groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_expressions": p6_expressions}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_measures": p6_measures, "p6_expressions": p6_expressions}
 
 # what the columns mean and the units are worth, written out once more, so that the SQL does not follow the operator's own tables
 _SPELLINGS = """('weight', 'weight_g'), ('item weight', 'weight_g'), ('product weight', 'weight_g'), ('net weight', 'weight_g'), ('gewicht', 'weight_g'), ('poids', 'weight_g'), ('peso', 'weight_g'),
@@ -146,3 +152,15 @@ ORACLE["p1_wide"] = f"""
         with f as ({_CELLS}), p as (select row_id, {", ".join(f"max(cell) filter (column_name = '{c}') as {c}" for c in ("weight_g", "length_mm", "power_w", "warranty_months", "piece_count", "released_on", "waterproof", "color", "material"))} from f group by 1)
         select m.row_id, {", ".join(f"cast(p.{c} as {t}) as {c}" for c, t in (("weight_g", "bigint"), ("length_mm", "bigint"), ("power_w", "bigint"), ("warranty_months", "bigint"), ("piece_count", "bigint"), ("released_on", "date"), ("waterproof", "boolean"), ("color", "varchar"), ("material", "varchar")))}
         from meta_items m left join p on p.row_id = m.row_id"""
+ORACLE["p4_variants"] = """
+        with e as (select row_id, unnest(images) as e from meta_items),
+        f as (select row_id, case when json_valid(e) then case json_type(e) when 'VARCHAR' then e::json ->> '$' when 'OBJECT' then e end end as t from e),
+        k as (select row_id, case when not json_valid(t) or json_type(t) <> 'OBJECT' then 'none' when json_exists(t, '$.renditions') then 'listed' when json_exists(t, '$.media') then 'sized'
+              when json_exists(t, '$.sets') then 'grouped' when json_exists(t, '$.thumb') or json_exists(t, '$.large') or json_exists(t, '$.hi_res') then 'flat' else 'none' end as kind from f)
+        select coalesce(kind, 'none') as kind, count(*) as elements, count(distinct row_id) as listings from k group by 1"""
+_MEASURES = ORACLE["p6_found"].partition("a as (select s.*")[0].rstrip().rstrip(",")
+ORACLE["p6_measures"] = f"""{_MEASURES},
+        v as (select t, c, l, count(distinct (v, x)) as k from u where not m group by all)
+        select s.t as table_name, s.c as column_name, cast(s.l as bigint) as load_no, cast(n.n as bigint) as n_rows, coalesce(v.k, 0) as distinct_values,
+            round(s.miss, 9) as missing, round(s.inv, 9) as invalid, round(s.dom, 9) as dominant, round(q.shift, 9) as shift
+        from s join n using (t, c, l) left join q using (t, c, l) left join v using (t, c, l)"""

@@ -28,15 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted by clear_staged()."""
+    folder = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _written[folder] = spark
+    return f"{folder}/{name}"
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df once and return a scan of what was written."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/{name}")
-    _written[folder] = spark
-    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-    out._staged_in = folder  # for unstage()
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_in = path.rpartition("/")[0]  # for unstage()
     return out
 
 

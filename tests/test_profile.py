@@ -53,7 +53,7 @@ def test_describe_focus_and_boxes(spark, items):
     drawn = profile.box_sample(profile.describe(items, "n"), 50, 3).collect()
     assert len(drawn) == 50 and all(1 <= r["x"] <= 5 for r in drawn)
     assert profile.split_counts(spark.createDataFrame([(0,), (3,), (None,)], "s int"), F.col("s")).first() == (1, 1)
-    assert profile.random_rows(spark.range(30), 7, 1).distinct().count() == 7
+    assert profile.random_rows(spark.range(30), "id", 7, 1).distinct().count() == 7
 
 
 def test_top_items_per_top_group(spark):
@@ -68,3 +68,16 @@ def test_join_dimension(spark):
     facts, dim = spark.createDataFrame([(1, 2.0), (None, 1.0)], "k int, r double"), spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, n string")
     assert rank.join_dimension(facts, dim, "k").count() == 2
     assert rank.join_dimension(facts, dim, "k", dedupe=True).count() == 1
+
+
+def test_histogram_by_group(spark):
+    data = [("a", float(i)) for i in range(31)] + [("b", 5.0)] * 3 + [(None, 1.0), (None, 3.0), ("a", None), ("c", None)]
+    got = {(r["g"], r["bin"]): r["n"] for r in profile.histogram_by(spark.createDataFrame(data, "g string, x double"), "g", "x", 30).collect()}
+    assert got == {("a", i): 1 for i in range(29)} | {("a", 29): 2, ("b", None): 3, (None, 0): 1, (None, 29): 1}
+    assert profile.histogram_by(spark.createDataFrame([], "g string, x double"), "g", "x", 30).count() == 0
+
+
+def test_samples_overlap_once(spark):
+    df = spark.range(40)
+    one = [r[0] for s in (1, 2) for r in profile.random_rows(df, "id", 15, s).collect()]
+    assert [r[0] for r in profile.sampled_union(df, "id", 15, (1, 2)).collect()] == sorted(set(one)) and len(one) == 30

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 
 from marlstone.session import Config, Workspace
@@ -78,3 +79,22 @@ def test_staging(spark):
     assert not os.path.isdir(folder)
     staging.clear_staged(spark)
     assert not os.path.isdir(b._staged_in.removeprefix("file://").removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return ""
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})()
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Cluster())
+
+
+def test_a_half_written_table_is_made_again(spark, tmp_path):
+    config = Config(table_root=str(tmp_path))
+    (tmp_path / "t").mkdir()
+    assert storage.materialize(spark, "t", lambda: spark.range(3), config=config).count() == 3

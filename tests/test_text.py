@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from marlstone.functions.json import json_keys, json_size
-from marlstone.functions.text import array_sentences, clean_text, concat_sections, is_filled, sentences, token_count, words
+from marlstone.functions.text import array_sentences, clean_text, concat_sections, is_filled, sentences, token_count, unescape_entities, unescape_html, words
 
 
 def clean_plainly(t):
@@ -48,3 +48,10 @@ def test_json_keys(spark):
     df = spark.createDataFrame([("{}",), (None,), ("[1,2]",), ("zz",), ('{"a":1,"a":2}',), ("",), ('{"a":',)], "j string")
     assert [r[0] for r in df.select(json_keys("j")).collect()] == [[], None, None, None, ["a"], None, None]
     assert [r[0] for r in df.select(json_size(F.col("j"))).collect()] == [0, None, None, None, 1, None, None]
+
+
+def test_html_references_are_decoded_once(spark):
+    cases = ["&#38;amp;", "&amp;lt;", "&#x41;&#66;&#0;x&#1114112;", "&notit; &notin; &copy2 &hearts;", "&#128;&#150;", "&#55296;", "&;& &#; &#x; a&b", "&NotEqualTilde;", "&#99999999999;", "&amp", "&ampx", "&zzz;", "&#1;&#9;", "&#x1F600;"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(unescape_html("t")).collect()]
+    assert got == [html.unescape(c) for c in cases]
+    assert spark.createDataFrame([("&#38;amp;",), ("&amp;#38;",)], "t string").select(unescape_entities("t")).collect() == [("&amp;",), ("&#38;",)]

@@ -124,9 +124,10 @@ def classify_shape(shape: Column) -> Column:
 
 
 def route_elements(df: DataFrame, key: str, field: str) -> DataFrame:
-    """One row per array element: ``row_id, pos, kind`` and a typed struct per variant, null in all but its own.
+    """One row per array element: ``row_id, pos, kind``, a typed struct per variant, null in all but its own, and ``raw``.
 
-    Elements that are null or not JSON have kind 'none'. JSON text within a JSON string is unwrapped once.
+    Elements that are null, not JSON or of no known shape have kind 'none' and keep their text as raw, which is null for all
+    others. JSON text within a JSON string is unwrapped once.
     """
     raw = df.select(F.col(key).alias("row_id"), F.posexplode(field).alias("pos", "raw"))
     first = raw.withColumn("v", F.try_parse_json("raw"))
@@ -140,11 +141,13 @@ def route_elements(df: DataFrame, key: str, field: str) -> DataFrame:
         "sized": F.struct(get("$.variant").alias("variant"), *[get(f"$.media.sizes.{x}.url").alias(x) for x in LABELS]),
         "grouped": F.struct(get("$.meta.variant").alias("variant"), get("$.sets", f"array<struct<files:array<struct<{','.join(f'{x}:string' for x in LABELS)}>>>>").alias("sets")),
     }
-    return routed.select("row_id", F.col("pos").cast("bigint").alias("pos"), "kind", *[F.when(F.col("kind") == k, body[k]).alias(k) for k in VARIANTS])
+    return routed.select("row_id", F.col("pos").cast("bigint").alias("pos"), "kind", *[F.when(F.col("kind") == k, body[k]).alias(k) for k in VARIANTS], F.when(F.col("kind") == "none", F.col("raw")).alias("raw"))
 
 
 def variant_table(routed: DataFrame, kind: str) -> DataFrame:
-    """The typed table of one variant: ``row_id, pos`` and the variant's own columns."""
+    """The typed table of one variant: ``row_id, pos`` and the variant's own columns; for 'none' the raw text."""
+    if kind == "none":
+        return routed.where("kind = 'none'").select("row_id", "pos", "raw")
     return routed.where(F.col("kind") == kind).select("row_id", "pos", f"{kind}.*")
 
 

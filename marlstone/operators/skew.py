@@ -42,8 +42,9 @@ def number_in_key(df: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_RO
     before = Window.partitionBy("_oc_key").orderBy("_oc_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_oc_key", "_oc_part", F.coalesce(F.sum("_oc_n").over(before), F.lit(0)).alias("_oc_offset"))
     local = F.row_number().over(Window.partitionBy("_oc_key", "_oc_part").orderBy("_oc_row"))
-    numbered = rows.withColumn("_oc_local", local).join(offsets, ["_oc_key", "_oc_part"])
-    place = F.col("_oc_offset") + F.col("_oc_local") - 1
+    numbered = rows.withColumn("_oc_local", local).join(offsets, ["_oc_key", "_oc_part"], "left")
+    lost = F.raise_error(F.lit("the input gave other partitions when it was read again; stage it first")).cast("bigint")
+    place = F.when(F.col("_oc_offset").isNull(), lost).otherwise(F.col("_oc_offset")) + F.col("_oc_local") - 1
     return numbered.withColumns({"place": place, "chunk": F.floor(place / chunk_rows)}).drop("_oc_key", "_oc_part", "_oc_row", "_oc_local", "_oc_offset")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -83,6 +83,23 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, most: float) -> DataFrame
     return _blocks(df, key, vector, work, f"a {kind}, b {kind}, distance double")
 
 
+def approximate_pairs(df: DataFrame, key: str, vector: str, most: float, tables: int = 12, width: float = 0.6, seed: int = 3) -> DataFrame:
+    """``a, b, distance`` with a < b of most pairs of cosine distance up to ``most``: the way for tables too large for all pairs.
+
+    Unit vectors are hashed by random projections into buckets of ``width``, ``tables`` times; only vectors that share a
+    bucket are compared, exactly. More tables find more, a smaller width compares less. Null, empty and zero vectors are left out.
+    """
+    good = F.coalesce((F.size(vector) > 0) & F.exists(vector, lambda x: x != 0), F.lit(False))
+    first = df.where(good).select(F.size(vector)).first()
+    # conversions may be evaluated before rows are left out, so the rows that are must not trouble them
+    safe = F.when(good, F.col(vector).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), first[0] if first else 1))
+    some = df.where(good).select(F.col(key).alias("key"), array_to_vector(safe).alias("v"))
+    unit = Normalizer(inputCol="v", outputCol="u").transform(some).select("key", "u")
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxSimilarityJoin(unit, unit, (2 * most) ** 0.5 + 1e-9, "d").where("datasetA.key < datasetB.key")
+    return near.select(F.col("datasetA.key").alias("a"), F.col("datasetB.key").alias("b"), (F.col("d") * F.col("d") / 2).alias("distance"))
+
+
 def k_distance(df: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """``key, distance``: cosine distance to the k-th nearest vector, the vector itself being the first."""
     kind = dict(df.dtypes)[key]

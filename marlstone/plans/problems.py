@@ -30,6 +30,16 @@ def p4_variants(spark: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("kind").agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("row_id").alias("listings"))
 
 
+def p4_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of the commonest variant, a column per rendition."""
+    return nested.variant_table(nested.route_elements(table(spark, d, "meta_items"), "row_id", "images"), "flat")
+
+
+def p4_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of no known shape, as they are."""
+    return nested.variant_table(nested.route_elements(table(spark, d, "meta_items"), "row_id", "images"), "none")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.top_votes(table(spark, d, "reviews")).select("parent_asin", "load_no", "review_id")
 
@@ -61,7 +71,7 @@ def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
     return quality.induce(values).groupBy("column_name", "level", "expression").agg(F.sum("n").alias("n_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_measures": p6_measures, "p6_expressions": p6_expressions}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_variants": p4_variants, "p4_flat": p4_flat, "p4_unknown": p4_unknown, "p5_found": p5_found, "p5_steps": p5_steps, "p6_found": p6_found, "p6_profile": p6_profile, "p6_measures": p6_measures, "p6_expressions": p6_expressions}
 
 # what the columns mean and the units are worth, written out once more, so that the SQL does not follow the operator's own tables
 _SPELLINGS = """('weight', 'weight_g'), ('item weight', 'weight_g'), ('product weight', 'weight_g'), ('net weight', 'weight_g'), ('gewicht', 'weight_g'), ('poids', 'weight_g'), ('peso', 'weight_g'),
@@ -152,12 +162,14 @@ ORACLE["p1_wide"] = f"""
         with f as ({_CELLS}), p as (select row_id, {", ".join(f"max(cell) filter (column_name = '{c}') as {c}" for c in ("weight_g", "length_mm", "power_w", "warranty_months", "piece_count", "released_on", "waterproof", "color", "material"))} from f group by 1)
         select m.row_id, {", ".join(f"cast(p.{c} as {t}) as {c}" for c, t in (("weight_g", "bigint"), ("length_mm", "bigint"), ("power_w", "bigint"), ("warranty_months", "bigint"), ("piece_count", "bigint"), ("released_on", "date"), ("waterproof", "boolean"), ("color", "varchar"), ("material", "varchar")))}
         from meta_items m left join p on p.row_id = m.row_id"""
-ORACLE["p4_variants"] = """
-        with e as (select row_id, unnest(images) as e from meta_items),
-        f as (select row_id, case when json_valid(e) then case json_type(e) when 'VARCHAR' then e::json ->> '$' when 'OBJECT' then e end end as t from e),
-        k as (select row_id, case when not json_valid(t) or json_type(t) <> 'OBJECT' then 'none' when json_exists(t, '$.renditions') then 'listed' when json_exists(t, '$.media') then 'sized'
-              when json_exists(t, '$.sets') then 'grouped' when json_exists(t, '$.thumb') or json_exists(t, '$.large') or json_exists(t, '$.hi_res') then 'flat' else 'none' end as kind from f)
-        select coalesce(kind, 'none') as kind, count(*) as elements, count(distinct row_id) as listings from k group by 1"""
+_KINDS = """
+        with e as (select row_id, unnest(images) as e, unnest(range(len(images))) as pos from meta_items),
+        f as (select row_id, pos, e, case when json_valid(e) then case json_type(e) when 'VARCHAR' then e::json ->> '$' when 'OBJECT' then e end end as t from e),
+        k as (select row_id, pos, e, t, case when not json_valid(t) or json_type(t) <> 'OBJECT' then 'none' when json_exists(t, '$.renditions') then 'listed' when json_exists(t, '$.media') then 'sized'
+              when json_exists(t, '$.sets') then 'grouped' when json_exists(t, '$.thumb') or json_exists(t, '$.large') or json_exists(t, '$.hi_res') then 'flat' else 'none' end as kind from f)"""
+ORACLE["p4_variants"] = _KINDS + " select coalesce(kind, 'none') as kind, count(*) as elements, count(distinct row_id) as listings from k group by 1"
+ORACLE["p4_flat"] = _KINDS + " select row_id, pos, t ->> '$.variant' as variant, t ->> '$.thumb' as thumb, t ->> '$.large' as large, t ->> '$.hi_res' as hi_res from k where kind = 'flat'"
+ORACLE["p4_unknown"] = _KINDS + " select row_id, pos, e as raw from k where coalesce(kind, 'none') = 'none'"
 _MEASURES = ORACLE["p6_found"].partition("a as (select s.*")[0].rstrip().rstrip(",")
 ORACLE["p6_measures"] = f"""{_MEASURES},
         v as (select t, c, l, count(distinct (v, x)) as k from u where not m group by all)

@@ -77,3 +77,14 @@ def test_models(spark):
     assert found[1][0] == "red" and found[2] == [] and found[3] == [] and "the" not in found[4]
     out = models.extract(df, {"t": "keywords_t"}, lambda texts: [[x.split()[0]] for x in texts])
     assert [r["keywords_t"] for r in out.orderBy("id").collect()] == [["red"], [], [], ["the"]]
+
+
+def test_approximate_pairs_find_most(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(20, 16)), 10, axis=0) + rng.normal(size=(200, 16)) * 0.15
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 16)], "id bigint, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if 1 - u[i] @ u[j] <= 0.1}
+    got = {(r["a"], r["b"]): r["distance"] for r in vectors.approximate_pairs(df, "id", "v", 0.1).collect()}
+    assert set(got) <= want and len(got) >= 0.9 * len(want)
+    assert all(abs(d - (1 - u[a] @ u[b])) < 1e-6 for (a, b), d in got.items())

@@ -174,7 +174,7 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     cells = max(1, min(cells, len(sample)))
     centres = sample[np.random.default_rng(5).permutation(len(sample))[:cells]]
     for _ in range(rounds if cells > 1 else 0):
-        own = np.argmax(sample @ centres.T, axis=1)
+        own = np.concatenate([np.argmax(sample[i : i + 4_096] @ centres.T, axis=1) for i in range(0, len(sample), 4_096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)

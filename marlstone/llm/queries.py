@@ -49,12 +49,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_check(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of the mix, by source: its tokens, no document more often than allowed, and its share where it is not short."""
+    """What must hold of the mix, by source: its tokens, and no document more often than allowed."""
     taken, report = _mixed(spark, d)
     most = taken.groupBy("source").agg(F.max("copies").alias("most"))
     kept = F.coalesce("most", F.lit(0)) <= F.col("max_repeats")
-    met = (F.col("action") == "short") | (F.col("actual_share") >= F.col("target_share") - 0.05)
-    return report.join(most, "source", "left").select("source", "tokens", kept.alias("within_repeats"), met.alias("share_met"))
+    return report.join(most, "source", "left").select("source", "tokens", kept.alias("within_repeats"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +113,7 @@ ORACLE = {
         select count(*) as documents, cast(sum(n) as bigint) as tokens, 0 as cut, 0 as overfull from t""",
     "p9_check": rf"""
         with d as (select regexp_replace(lower(source), '[\s_-]+', '', 'g') as name, cast({_TOKENS} as bigint) as n from documents)
-        select m.source, cast(coalesce(sum(d.n), 0) as bigint) as tokens, true as within_repeats, true as share_met
+        select m.source, cast(coalesce(sum(d.n), 0) as bigint) as tokens, true as within_repeats
         from mix_targets m left join d on d.name = regexp_replace(lower(m.source), '[\s_-]+', '', 'g') group by m.source""",
     "p2_found": """
         with v as (select vec_id, cast(embeddings as double[]) as e from sentence_vectors where len(embeddings) = 64

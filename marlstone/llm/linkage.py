@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,10 @@ PRIOR_PAIRS = 10.0
 BRAND_SHARE = 0.6
 #: A word is a value of a field if this share of the listings that state it, two at least, state it as that.
 STATED_SHARE = 0.5
-#: Blocks of more classes than this are parted by one more field, and once more by two.
+#: Blocks of more classes than this are parted by one more field, and once more by two, for the weights; links are looked for in them whole.
 BLOCK_CLASSES = 100
+#: Readings of a large block that a task compares with all of it, and comparisons a task is meant to make.
+TILE_LOOKS, TASK_PAIRS = 2_000, 4_000_000
 #: Neighbours in a block that a numbered class is compared with, so that the weights know what different products look like.
 NEIGHBOURS = 2
 #: Fields that the classes of a block agree in, by kind of block; of a line only an end, of a size only its range.
@@ -190,7 +193,8 @@ def blocked(classes: DataFrame, most: int = BLOCK_CLASSES) -> DataFrame:
     """``id, numbered, block``: the blocks of every class.
 
     A block of more than ``most`` classes gives way to blocks of its classes that agree in one more field, and those to
-    blocks that agree in two more, so that a block that holds a third of all classes does not pair them all.
+    blocks that agree in two more, so that a block that holds a third of all classes does not pair them all. The weights
+    are fitted on these; for the links ``large_block_links`` compares what this leaves out.
     """
     values = {f: F.col(f).cast("string") for f in ("line", "brand", "colour", "material")} | {"size": F.concat_ws(" ", "size.dim", F.round("size.value").cast("string")), "kind": F.array_join("kind", " ")}
     used = F.create_map(*[x for tag, fields in BLOCK_FIELDS.items() for x in (F.lit(tag), F.array(*[F.lit(f) for f in fields]))])
@@ -274,18 +278,57 @@ def fit_linkage(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float
     return dict(zip(patterns, (float(x) for x in odds), strict=True))
 
 
+def large_block_links(classes: DataFrame, kept: dict[str, float], most: int = BLOCK_CLASSES) -> DataFrame | None:
+    """``a, b, odds``: pairs of blocks of more than ``most`` classes, one of them without model number, whose pattern is kept.
+
+    Every such pair of a block is compared, whatever else it agrees in. Classes that differ in their number alone have one
+    reading, and readings are compared once: a block's are dealt to tiles, each compared with all of the block. Pairs that
+    differ in a field in which no kept pattern differs are not looked at further. None if no block is large.
+    """
+    said = [f for f in FIELDS if f != "model"]
+    look = F.xxhash64(*said, *[F.col(f).isNull() for f in said])  # a hash passes nulls over
+    members = stage(classes.select("id", F.col("model").isNull().alias("free"), look.alias("look"), *said), "members")
+    looks = members.groupBy("look", *said).agg(F.max("free").alias("free"), F.count(F.lit(1)).alias("n"))
+    blocks = stage(looks.select("look", "free", "n", F.struct(*said).alias("p"), F.explode(block_keys()).alias("block")).withColumn("block", F.xxhash64("block")), "looks")
+    large = stage(blocks.groupBy("block").agg(F.sum("n").alias("classes"), F.count(F.lit(1)).alias("looks"), F.count_if("free").alias("open")).where(F.col("classes") > most), "large")
+    work = large.agg(F.sum(F.col("looks") * F.col("open"))).first()[0]
+    odds = {p[1:]: x for p, x in kept.items() if p.startswith("0")}
+    if not work or not odds:
+        return None
+    held = blocks.drop("n").join(large.select("block", F.ceil(F.col("looks") / TILE_LOOKS).alias("tiles")), "block")
+    left = held.where("free").select(F.col("look").alias("a"), "p", "block", F.pmod(F.col("look"), F.col("tiles")).alias("tile"))
+    right = held.select(F.col("look").alias("b"), F.col("p").alias("q"), F.col("free").alias("other"), "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"))
+    tasks = min(10_000, max(left.sparkSession.sparkContext.defaultParallelism, -(-work // TASK_PAIRS)))
+    both = left.repartition(tasks, "block", "tile").join(right.hint("merge"), ["block", "tile"]).where("not other or a <= b")
+    for i, f in enumerate(said):
+        if all(p[i] != "1" for p in odds):
+            both = both.where(agreement([f]) != "1")
+    table = classes.sparkSession.createDataFrame(list(odds.items()), "pattern string, odds double")
+    found = stage(both.select("a", "b", agreement(said).alias("pattern")).join(F.broadcast(table), "pattern").select("a", "b", "odds").distinct(), "looks_linked")
+    of = lambda side, x: members.select(F.col("look").alias(side), F.col("id").alias(x), F.col("free").alias(f"free_{x}"))
+    pairs = found.join(of("a", "x"), "a").join(of("b", "y"), "b").where("(free_x or free_y) and (a != b or x < y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "odds")
+
+
 def links(classes: DataFrame, least: float = LINK_PROBABILITY) -> DataFrame:
     """``a, b, odds`` of linked classes: log odds of a match of pairs whose probability is at least ``least``.
 
-    At most 4^7 counts of patterns come to the driver; the fitted odds alone decide.
+    At most 4^7 counts of patterns come to the driver; the fitted odds alone decide, over all pairs of blocks of which one
+    has no model number, in large blocks as well.
     """
     body = classes.select("id", F.struct(*FIELDS).alias("p"))
     pairs = candidate_pairs(classes).join(body.withColumnRenamed("id", "a"), "a").join(body.select(F.col("id").alias("b"), F.col("p").alias("q")), "b")
     compared = stage(pairs.select("a", "b", agreement().alias("pattern")), "compared")
-    odds = fit_linkage({r[0]: r[1] for r in compared.groupBy("pattern").count().collect()})
+    counts = {r[0]: r[1] for r in compared.groupBy("pattern").count().collect()}
+    # patterns that no counted pair has weigh nothing, but pairs of large blocks may have them
+    every = dict.fromkeys(map("".join, product(*["0123" if f == "line" else "012" for f in FIELDS])), 0)
+    odds = fit_linkage(every | counts)
     kept = {p: x for p, x in odds.items() if x >= np.log(least / (1 - least))}
-    lookup = F.create_map(*[F.lit(x) for kv in kept.items() for x in kv]) if kept else F.lit(None).cast("map<string,double>")
-    return compared.withColumn("odds", F.try_element_at(lookup, F.col("pattern"))).where("odds is not null").select("a", "b", "odds")
+    seen = {p: x for p, x in kept.items() if p in counts}
+    lookup = F.create_map(*[F.lit(x) for kv in seen.items() for x in kv]) if seen else F.lit(None).cast("map<string,double>")
+    linked = compared.withColumn("odds", F.try_element_at(lookup, F.col("pattern"))).where("odds is not null").select("a", "b", "odds")
+    rest = large_block_links(classes, kept)
+    return linked if rest is None else linked.unionByName(rest).dropDuplicates(["a", "b"])
 
 
 def products(items: DataFrame, key: str = "parent_asin", row: str = "row_id", title: str = "title", features: str = "features") -> DataFrame:

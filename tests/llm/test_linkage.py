@@ -120,3 +120,19 @@ def test_large_blocks_are_parted(spark):
     every, few = free(1000), free(20)
     same_line = {(f"r{i:03d}", f"r{i + 1:03d}") for i in range(0, 200, 2)}  # of two neighbours one has no number
     assert same_line <= few < every and len(few) < len(every) / 5
+
+
+def test_large_blocks_lose_no_link(spark, monkeypatch):
+    """One block of 162 classes: pairs that agree in no more than the block, or in nothing else exactly, are linked, each once."""
+    fields = "id string, model string, size struct<dim:string,value:double,error:double>, line string, brand string, colour string, material string, kind array<string>"
+    line = lambda i: "kol" + "abcdefghij"[i // 10] * 4 + "klmnopqrst"[i % 10] * 4 + "ipo"
+    size = ("g", 500.0, 0.01)
+    data = [(f"r{i:03d}", f"ab{i:06d}" if i % 2 else None, size, line(i), "kahoga", None, None, ["lamp"]) for i in range(100)]
+    data += [(f"s{i:03d}", None, ("g", 501.0, 2.0), line(i)[:5] + line(i)[6:], "kahoga", None, None, None) for i in range(60)]  # a letter lost, size rounded
+    data += [(f"t{k}", None, size, line(99), "kahoga", None, None, None) for k in range(2)]  # read the same
+    classes = spark.createDataFrame(data, fields)
+    monkeypatch.setattr(linkage, "fit_linkage", lambda counts: {p: 5.0 if p[:3] in ("022", "023") else -5.0 for p in counts})
+    got = sorted((r["a"], r["b"]) for r in linkage.links(classes).collect())
+    assert got == sorted([(f"r{i:03d}", f"s{i:03d}") for i in range(60)] + [("r099", "t0"), ("r099", "t1"), ("t0", "t1")])
+    monkeypatch.setattr(linkage, "TILE_LOOKS", 7)
+    assert sorted((r["a"], r["b"]) for r in linkage.links(classes).collect()) == got
